@@ -1,7 +1,15 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from matchloom.llm import quality
+from matchloom.llm import decontamination, mixing, quality, sharding
 
-QUERIES = {"op8_quality_rules": quality.op8_quality_rules}
+QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
+    "op5_mixing": mixing.op5_mixing,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op10_decontamination": decontamination.op10_decontamination,
+}
 
-ORACLES = {"op8_quality_rules": quality.SQL}
+ORACLES = {
+    "op8_quality_rules": quality.SQL,
+    "op10_decontamination": decontamination.SQL,
+}
