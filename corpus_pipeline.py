@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import quality
+from matchloom.llm import decontamination, mixing, near_dedup, quality, sharding
 from matchloom.session import materialize
 
 STAGES = [
     ("quality_rules", quality.stage),
+    ("near_dedup", near_dedup.stage),
+    ("decontamination", decontamination.stage),
+    ("mixing", mixing.stage),
+    ("sharding", sharding.stage),
 ]
 
 #: Random rounding of copies can't be stated in SQL; tests hold the stages against brute force.
