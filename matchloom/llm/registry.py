@@ -1,12 +1,13 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from matchloom.llm import decontamination, mixing, near_dedup, quality, sharding
+from matchloom.llm import decontamination, language_model, mixing, near_dedup, quality, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op5_mixing": mixing.op5_mixing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_lm_scoring": language_model.op9_lm_scoring,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
