@@ -1,9 +1,10 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from matchloom.llm import decontamination, language_model, mixing, near_dedup, quality, sharding
+from matchloom.llm import decontamination, language_model, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_quality_rules": quality.op8_quality_rules,

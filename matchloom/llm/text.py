@@ -24,6 +24,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _CODE = _table()
+#: Bytes that are no ASCII letters or digits, nor part of characters beyond ASCII.
+PUNCTUATION = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b > 127) for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype="u8")
 
@@ -56,9 +58,9 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start of each word, its length, offsets of each row's words in these)."""
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     edge = np.ones(len(data) + 1, bool)  # a row starts here, or the byte before is space
     edge[1:] = False
     edge[1:-1] = ~solid[:-1]
