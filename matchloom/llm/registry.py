@@ -1,9 +1,10 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from matchloom.llm import decontamination, language_model, mixing, near_dedup, quality, sharding, toxicity
+from matchloom.llm import decontamination, language_model, mixing, near_dedup, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
