@@ -1,8 +1,5 @@
 """Every registered query of the schema-matching engine, and its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from matchloom.plans.queries import ORACLES, QUERIES, flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -50,13 +50,20 @@ def chebyshev(x: Column, y: Column) -> Column:
     return F.array_max(_pairs(x, y, lambda a, b: F.abs(a - b)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pearson(x: Column, y: Column) -> Column:
-    n = F.size(x)
-    mx, my = total(x) / n, total(y) / n
-    xy = total(_pairs(x, y, lambda a, b: (a - mx) * (b - my)))
-    xx = total(F.transform(x, lambda a: (a - mx) * (a - mx)))
-    yy = total(F.transform(y, lambda b: (b - my) * (b - my)))
-    return F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx * yy)).otherwise(F.lit(0.0))
+    def of(mx: Column, my: Column) -> Column:
+        xy = total(_pairs(x, y, lambda a, b: (a - mx) * (b - my)))
+        xx = total(F.transform(x, lambda a: (a - mx) * (a - mx)))
+        yy = total(F.transform(y, lambda b: (b - my) * (b - my)))
+        sums = F.struct(xy.alias("xy"), xx.alias("xx"), yy.alias("yy"))
+        return let(sums, lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / F.sqrt(s["xx"] * s["yy"])).otherwise(F.lit(0.0)))
+
+    return let(total(x) / F.size(x), lambda mx: let(total(y) / F.size(y), lambda my: of(mx, my)))
 
 
 def average_ranks(x: Column) -> Column:
@@ -67,11 +74,11 @@ def average_ranks(x: Column) -> Column:
 
 
 def spearman(x: Column, y: Column) -> Column:
-    return pearson(average_ranks(x), average_ranks(y))
+    return let(average_ranks(x), lambda r: let(average_ranks(y), lambda s: pearson(r, s)))
 
 
 def classical_native(x: Column, y: Column) -> dict[str, Column]:
-    """All eight over columns of doubles; materialise ``spearman``'s ranks first where vectors are long."""
+    """All eight over columns of doubles."""
     cos = cosine_sim(x, y)
     values = (euclidean(x, y), 1 - cos, cos, pearson(x, y), spearman(x, y), minkowski(x, y), canberra(x, y), chebyshev(x, y))
     return dict(zip(CLASSICAL_FEATURES, values, strict=True))
