@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
+from matchloom.llm.spans import sized
 
 FEATURE_BITS, SELECTED, MAX_TRAIN, MAX_FEATURES = 18, 2048, 10_000, 4_000_000
 STEPS, RATE, L1, LEAST_DOCS = 300, 0.15, 1e-4, 5
@@ -157,11 +158,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); rows of both that may be learned from."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     texts = docs.where("text is not null and doc_id is not null")
-    counted = texts.join(known, "doc_id").select("toxic", "text").mapInArrow(_document_counts, "feature int, pos long, neg long")
+    # Labels are broadcast up to a measured number of rows; beyond it the texts are shuffled once.
+    counted = texts.join(sized(known), "doc_id").select("toxic", "text").mapInArrow(_document_counts, "feature int, pos long, neg long")
     table = counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
     chosen = choose(*(table[c].to_numpy() for c in ("feature", "pos", "neg")))
+    # MAX_TRAIN rows at most
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MAX_TRAIN)
-    rows = texts.join(taken, "doc_id").select("toxic", "text").mapInArrow(_chosen_features(chosen), "toxic int, f binary, s binary")
+    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text").mapInArrow(_chosen_features(chosen), "toxic int, f binary, s binary")
     toxic, f, s, total = [], [], [], 0
     for r in rows.collect():
         x = np.frombuffer(r["f"], "<i4")
