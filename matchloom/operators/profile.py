@@ -27,7 +27,7 @@ def column_texts(
     blank values don't count; a column without values has its name as text.
     """
     entries = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(df.columns, value_strings(df), strict=True)])
-    values = df.select(F.explode(entries).alias("x")).select("x.column", F.trim("x.value").alias("value")).where("value <> ''")
+    values = df.select(F.explode(entries).alias("x")).select("x.column", F.btrim(F.col("x.value"), F.lit(" \t\n\x0b\x0c\r")).alias("value")).where("value <> ''")
     counts = values.groupBy("column", "value").count()
     top = counts.withColumn("rn", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))).where(F.col("rn") <= max_values)
     short = F.substring(F.regexp_replace("value", "[\n\r]", " "), 1, max_value_chars)
