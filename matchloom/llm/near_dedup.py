@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
 from matchloom.llm.components import components
+from matchloom.llm.spans import sized
 from matchloom.session import materialize
 
 SHINGLE, PERCENT = 5, 85
@@ -156,13 +157,14 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of candidate ``pairs`` (a, b) those whose full sets are similar enough."""
     by = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    sized = pairs.join(by("a"), "a").join(by("b"), "b")
-    sized = sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    known = pairs.join(by("a"), "a").join(by("b"), "b")
+    known = known.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     likely = materialize(
-        sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long"), "likely"
+        known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long"), "likely"
     )
     ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    one = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")
+    # Texts are picked where they are read, if the ids are few enough to broadcast.
+    one = docs.select("doc_id", "text").join(sized(ends), "doc_id", "left_semi")
     text = materialize(one.groupBy("doc_id").agg(F.min("text").alias("text")), "candidate-texts")
     with_a = likely.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -185,7 +187,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``members`` (id, component) of different components that can be similar enough."""
-    texts = docs.select("doc_id", "text").join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(sized(members.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     one = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = materialize(one.mapInArrow(_shingles, "id long, n long, e long"), "member-shingles")
     df = rows.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -261,4 +263,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one whose doc_id names the component."""
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(sized(gone), "doc_id", "left_anti")
