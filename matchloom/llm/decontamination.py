@@ -26,6 +26,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.llm.spans import sized
+from matchloom.session import materialize
+
 N = 10
 BROADCAST_WINDOWS = 200_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -137,7 +140,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns]
     found = find_contamination(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
     return docs.select(*own).join(
-        found, (F.xxhash64("text") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti"
+        sized(materialize(found, "contaminated")), (F.xxhash64("text") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti"
     )
 
 

@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm.spans import sized
 from matchloom.session import materialize
 
 WEIGHTS, SHARE, CAP, BUCKET_ROWS = (5, 2, 1), 1.5, 2.0, 4096
@@ -178,8 +179,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     rows, _ = mix(docs.select(*own))
-    taken = rows.groupBy("key").agg(F.sum("copies").cast("int").alias("__n")).where("__n > 0")
+    taken = rows.groupBy("key").agg(F.sum("copies").cast("int").alias("__n"), F.count(F.lit(1)).alias("__rows")).where("__n > 0")
+    taken = materialize(taken, "taken")
     keyed = docs.select(*own, F.xxhash64(*own).alias("__key"))
+    pick = lambda t: keyed.join(sized(t), F.col("__key") == F.col("key"))
     first = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))
-    joined = keyed.join(taken, F.col("__key") == F.col("key")).withColumn("__k", first).where("__k = 1")
+    repeated = pick(taken.where("__rows > 1")).withColumn("__k", first).where("__k = 1").drop("__k")  # alike: one stands for all
+    joined = pick(taken.where("__rows = 1")).unionByName(repeated)
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*own)
