@@ -16,7 +16,8 @@ the order of their bytes (a suffix array of the dictionary to the depth of one w
 the corpus has the same order, as equal phrases stand together in it), and neighbours
 are compared byte by byte. Windows equal to a neighbour are repeated. A trigger with
 more than ``HOT`` distinct phrases (a common passage in ever different surroundings) is
-not put into one task: its windows become rows of 128-bit hashes, counted with partial
+not put into one task: cells of neighbouring windows, and of the windows only those at
+the borders of what is repeated, become rows of 128-bit hashes, counted with partial
 aggregation, which needs no group in one place.
 
 Phrases of other triggers are never compared, no pairs are made. Texts are scanned
@@ -38,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
-from matchloom.llm.spans import remove_spans, sized
+from matchloom.llm.spans import remove_spans, sized, union
 from matchloom.session import materialize
 
 LENGTH, GRAM = 400, 128
 #: Windows of a phrase at most, and bytes of a text that are parsed at once.
 LONGEST_RUN, BLOCK = 1024, 1 << 20
-HOT = 256
+HOT, CELL = 256, 16
 _B = 0x9E3779B97F4A7C15
 
 
@@ -182,25 +183,85 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(now, rows)
 
 
-def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(trigger, whole, i, h1, h2): a row for each window of phrases with a hot trigger."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases with a hot trigger, cut into cells of up to ``CELL`` neighbouring windows.
+
+    A window's place is the distance from its start to the first trigger in it, which
+    equal windows share; cells are cut by that distance. (trigger, whole, lo: first
+    window; w1, w2: hashes of the windows; c1, c2: of the bytes that all windows of
+    such a cell have in common; f1, f2: of all bytes of this one.)
+    """
     powers = _Powers()
+    codes = (tx._CODE, tx.mix(tx._CODE))
     for batch in batches:
         for t, w, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             b = np.frombuffer(data, "u1")
             up, down = powers.to(len(b) + 1)
-            out = []
-            for code in (tx._CODE, tx.mix(tx._CODE)):
-                p = np.zeros(len(b) + 1, "u8")
-                np.cumsum(code[b] * up[: len(b)], out=p[1:])
-                out.append(tx.mix((p[LENGTH:] - p[:-LENGTH]) * down[: len(b) - LENGTH + 1]).view("i8"))
-            n = len(out[0])
+            sums = [np.concatenate((np.zeros(1, "u8"), np.cumsum(code[b] * up[: len(b)], dtype="u8"))) for code in codes]
+            of = lambda p, x, y: (p[y] - p[x]) * down[x]  # noqa: E731, B023  hash of bytes x to y
+            gram = np.arange(len(b) - GRAM + 1)
+            at = np.flatnonzero(tx.mix(of(sums[0], gram, gram + GRAM)).view("i8") == t)
+            i = np.arange(len(b) - LENGTH + 1)
+            first = at[np.searchsorted(at, i)]
+            code = first * 2 * LENGTH + (first - i) // CELL
+            lo = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            hi = np.append(lo[1:], len(i)) - 1
+            core = first[lo] - (first[lo] - lo) // CELL * CELL
+            windows = [tx.mix(of(p, i, i + LENGTH)).view("i8") for p in sums]
+            common = [tx.mix(of(p, core, core + LENGTH - CELL + 1) + np.uint64(1)).view("i8") for p in sums]
+            extent = ((first[lo] - lo) * LENGTH + hi - lo).astype("u8")
+            whole = [tx.mix(of(p, lo, hi + LENGTH) + tx.mix(extent)).view("i8") for p in sums]
+            cut = pa.array(np.append(lo, len(i)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in windows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, t, "i8")), pa.array(np.full(n, w, "i8")), pa.array(np.arange(n, dtype="i4")), *map(pa.array, out)],
-                names=["trigger", "whole", "i", "h1", "h2"],
+                [pa.array(np.full(len(lo), t, "i8")), pa.array(np.full(len(lo), w, "i8")), pa.array(lo, pa.int32()), *lists, *map(pa.array, (*common, *whole))],
+                names=["trigger", "whole", "lo", "w1", "w2", "c1", "c2", "f1", "f2"],
             )
 
 
+def _hot_ranges(data: DataFrame) -> DataFrame:
+    """(trigger, whole, lo, hi) of phrases (trigger, whole, bytes) whose triggers are in very many phrases.
+
+    Cells that occur as a whole elsewhere are repeated; cells whose common bytes occur
+    nowhere else are not; the windows of the others, at the borders of what is
+    repeated, are rows. All counts have partial aggregation.
+    """
+    cells = materialize(
+        data.mapInArrow(
+            _cells, "trigger long, whole long, lo int, w1 array<long>, w2 array<long>, c1 long, c2 long, f1 long, f2 long"
+        ),
+        "cells",
+    )
+    often = lambda df, *h: df.groupBy(*h).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*h)
+    full = cells.join(often(cells, "f1", "f2"), ["f1", "f2"], "left_semi")
+    border = cells.join(often(cells, "c1", "c2"), ["c1", "c2"], "left_semi").join(often(cells, "f1", "f2"), ["f1", "f2"], "left_anti")
+    # a window of a border cell can equal one of a cell that is repeated as a whole: those windows count once for each kind of cell
+    kinds = full.dropDuplicates(["f1", "f2"])
+    rows = lambda df: df.select("trigger", "whole", "lo", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w")).select(
+        "trigger", "whole", (F.col("lo") + F.col("k")).alias("i"), "w.w1", "w.w2"
+    )
+    open_ = border.select("c1", "c2").distinct()
+    windows = materialize(rows(border), "border-windows")
+    others = rows(kinds.join(open_, ["c1", "c2"], "left_semi")).select("w1", "w2")
+    again = often(windows.select("w1", "w2").unionByName(others), "w1", "w2")
+    found = windows.join(again, ["w1", "w2"], "left_semi").select("trigger", "whole", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
+    whole = full.select("trigger", "whole", "lo", (F.col("lo") + F.size("w1")).alias("hi"))
+    both = found.unionByName(whole).groupBy("trigger", "whole").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("x"))
+    return both.select("trigger", "whole", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching intervals of a row become one."""
+    for batch in batches:
+        starts, ends = [], []
+        for s, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            a, z = union(np.array(s, "i8"), np.array(e, "i8"))
+            starts.append(a.tolist())
+            ends.append(z.tolist())
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, kind), pa.array(ends, kind)], names=["key", "starts", "ends"])
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, starts, ends): byte intervals of ``docs`` (key, text) that repeated windows cover."""
     phrases = materialize(
@@ -231,12 +292,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     cold = data.where("not hot").select("trigger", "whole", "bytes").repartition("trigger").sortWithinPartitions("trigger")
     ranges = cold.mapInArrow(_ordered, "trigger long, whole long, lo array<int>, hi array<int>")
-    windows = data.where("hot").select("trigger", "whole", "bytes").mapInArrow(
-        _hashed_windows, "trigger long, whole long, i int, h1 long, h2 long"
-    )
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
-    hot = windows.join(again, ["h1", "h2"], "left_semi").groupBy("trigger", "whole").agg(F.collect_list("i").alias("lo"))
-    hot = hot.select("trigger", "whole", "lo", F.transform("lo", lambda i: i + 1).alias("hi"))
+    hot = _hot_ranges(data.where("hot").select("trigger", "whole", "bytes"))
     found = materialize(ranges.unionByName(hot).where(F.size("lo") > 0), "ranges")
 
     full = dictionary.where("n > 1").select("trigger", "whole", F.array(F.lit(0)).alias("lo"), F.array("run").alias("hi"))
@@ -245,10 +301,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = marked.select("key", "first", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select(
         "key", (F.col("first") + F.col("r.lo")).alias("s"), (F.col("first") + F.col("r.hi") - 1 + LENGTH).alias("e")
     )
-    return materialize(
-        spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x")).select("key", F.col("x.s").alias("starts"), F.col("x.e").alias("ends")),
-        "spans",
-    )
+    by_key = spans.groupBy("key").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    return materialize(by_key.mapInArrow(_merged, "key long, starts array<long>, ends array<long>"), "spans")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
