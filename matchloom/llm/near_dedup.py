@@ -25,7 +25,8 @@ with a chance that is their similarity.
 7. Components of the links; the smallest doc_id names a component.
 
 Sketches (about 600 bytes a document) and texts of candidates are shuffled; nothing
-is collected but counts.
+is collected but counts. Rows of a hot key (a list, a shingle or a hub that may hold a
+third of all rows) never meet in one task: ``matchloom/llm/skew.py``.
 
 Defined results: null and wordless texts have an empty set and stand alone; a null
 doc_id stands alone, with a null component, and is kept; rows that share a doc_id
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
 from matchloom.llm.components import components
+from matchloom.llm.skew import deal_join, hot_join, hot_limit, with_counts
 from matchloom.llm.spans import sized
 from matchloom.session import materialize
 
@@ -157,7 +159,7 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of candidate ``pairs`` (a, b) those whose full sets are similar enough."""
     by = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    known = pairs.join(by("a"), "a").join(by("b"), "b")
+    known = deal_join(deal_join(pairs, by("a"), "a", "b"), by("b"), "b", "a", counted=pairs)
     known = known.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     likely = materialize(
         known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long"), "likely"
@@ -166,8 +168,8 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: in
     # Texts are picked where they are read, if the ids are few enough to broadcast.
     one = docs.select("doc_id", "text").join(sized(ends), "doc_id", "left_semi")
     text = materialize(one.groupBy("doc_id").agg(F.min("text").alias("text")), "candidate-texts")
-    with_a = likely.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    of = lambda k: text.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
+    both = deal_join(deal_join(likely, of("a"), "a", "b"), of("b"), "b", "a", counted=likely)
     return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long")
 
 
@@ -190,17 +192,17 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame
     texts = docs.select("doc_id", "text").join(sized(members.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     one = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = materialize(one.mapInArrow(_shingles, "id long, n long, e long"), "member-shingles")
-    df = rows.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    known = rows.join(df, "e")
-    order = Window.partitionBy("id").orderBy("df", "e")
+    limit = hot_limit(rows)
+    known = with_counts(rows, "e", limit)
+    order = Window.partitionBy("id").orderBy("c", "e")
     ranked = known.select(
-        "id", "n", "e", F.row_number().over(order).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("shared")
+        "id", "n", "e", "c", F.row_number().over(order).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("shared")
     )
-    at = ranked.select("id", "n", "e", (F.col("n") - F.col("shared") + F.col("k")).alias("at"))
+    at = ranked.select("id", "n", "e", "c", (F.col("n") - F.col("shared") + F.col("k")).alias("at"))
     prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    short = at.where(F.col("at") <= prefix).join(members, "id")
-    mixed = short.groupBy("e").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("e")
-    rest = materialize(short.join(mixed, "e", "left_semi"), "prefixes")
+    short = materialize(at.where(F.col("at") <= prefix).join(members, "id"), "prefixes")
+    mixed = short.groupBy("e", "c").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("e", "c")
+    rest = materialize(hot_join(short, materialize(mixed, "mixed-shingles"), "e", limit, "left_semi"), "mixed-prefixes")
     side = lambda k: rest.select("e", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"p{k}"), F.col("component").alias(f"c{k}"))
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     possible = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
@@ -218,29 +220,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands")
 
     lists = materialize(nodes.select("id", F.explode("bands").alias("key")), "lists")
-    counts = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = materialize(lists.join(counts, "key"), "shared-lists")
+    limit = hot_limit(lists)
+    shared = materialize(with_counts(lists, "key", limit), "shared-lists")
     plain = nodes.select("id", "n", "sketch")
 
     small = shared.where(F.col("c") <= SHORT_LIST).select("key", "id")
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a > b")
     weight = shared.groupBy("id").agg(F.sum("c").alias("w"))
-    long_ = shared.where(F.col("c") > SHORT_LIST).select("key", "id")
-    hubs = long_.join(weight, "id").groupBy("key").agg(F.min(F.struct(-F.col("w"), F.col("id").alias("hub"))).alias("h")).select("key", "h.hub")
-    stars = long_.join(hubs, "key").where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
-    first = pairs.select("a", "b").unionByName(stars).distinct()
+    long_ = shared.where(F.col("c") > SHORT_LIST)
+    heads = long_.join(weight, "id").groupBy("key", "c").agg(F.min(F.struct(-F.col("w"), F.col("id").alias("hub"))).alias("h"))
+    hubs = materialize(heads.select("key", "c", "h.hub"), "hubs")
+    stars = hot_join(long_, hubs, "key", limit).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+    first = materialize(pairs.select("a", "b").unionByName(stars).distinct(), "candidates")
     links = materialize(exact_links(first, plain, docs, percent), "links")
     found = materialize(components(links, "first"), "components")
 
     # Long lists whose members are not all of one component: the pairs across components.
     labelled = long_.join(found.withColumnRenamed("id", "n_id"), F.col("id") == F.col("n_id"), "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
+        "key", "c", "id", F.coalesce("component", "id").alias("component")
     )
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").select("id", "component").distinct(), "rest")
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("key", "c").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "c")
+    both = hot_join(labelled, materialize(mixed, "mixed-lists"), "key", limit, "left_semi")
+    rest = materialize(both.select("id", "component").distinct(), "rest")
     if not rest.isEmpty():
         across = prefix_pairs(docs, rest, percent)
-        tried = across.join(first, ["a", "b"], "left_anti")
+        tried = materialize(across.join(first, ["a", "b"], "left_anti"), "more-candidates")
         more = materialize(exact_links(tried, plain, docs, percent), "more-links")
         if not more.isEmpty():
             found = materialize(components(links.unionByName(more), "all"), "all-components")
