@@ -11,8 +11,10 @@ n-gram is put into the filter once for each of its levels. A query probes level
 2, ... until one is missing; the last one found gives the count. Words are stored
 from count 1, pairs from count 2 on (a pair seen once tells less than its words).
 Every bucket fills its own segment of the filter; the filter has ``BITS_PER_ENTRY``
-bits for each entry up to ``MAX_FILTER_BYTES``, which bounds what is collected and
-broadcast. Beyond that bound false positives grow, the memory doesn't.
+bits for each entry, however many there are. Up to ``MAX_FILTER_BYTES`` it is collected
+and broadcast. A larger one stays in its segments in the shared folder: chunks of
+documents send their distinct n-grams to the buckets, and the levels come back to the
+chunks. Both ways read the same bits and give the same scores.
 
 A word's probability is the pair's count smoothed by the word's: (c2 + MU * p1) /
 (c1 + MU) with p1 = (c + 0.1) / (N + 0.1 (V + 1)), counts as the filter gives them.
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import log10
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,6 +49,8 @@ FREQUENT = 1 << 19
 BITS_PER_ENTRY, PROBES, MAX_FILTER_BYTES = 10, 4, 64 << 20
 LEAST_COUNT = {1: 1, 2: 2}
 FLUSH = 1 << 21
+#: Tokens of the documents that are scored together, and bytes of n-grams in one task, where the filter is stored.
+CHUNK, LOOKED_UP_BYTES = 1 << 20, 64 << 20
 END = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -164,10 +169,10 @@ def _probe_bits(keys: np.ndarray, j: int, kind: int, bits: int) -> Iterator[np.n
 
 
 class LogFrequencyFilter:
-    """Segments of equal size, one for each bucket of each kind's keys."""
+    """Segments of equal size, one for each bucket of each kind's keys, from bucket ``first`` on."""
 
-    def __init__(self, bucket_bits: int, segment_bytes: int, data: np.ndarray) -> None:
-        self.bucket_bits, self.segment_bytes, self.data = bucket_bits, segment_bytes, data
+    def __init__(self, bucket_bits: int, segment_bytes: int, data: np.ndarray, first: int = 0) -> None:
+        self.bucket_bits, self.segment_bytes, self.data, self.first = bucket_bits, segment_bytes, data, first
 
     @staticmethod
     def segment(segment_bytes: int, parts: list[tuple[int, bytes]]) -> bytes:
@@ -182,7 +187,7 @@ class LogFrequencyFilter:
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """The last level that is there for each key."""
-        bucket = (keys >> np.uint64(64 - self.bucket_bits)).astype("i8") * self.segment_bytes
+        bucket = ((keys >> np.uint64(64 - self.bucket_bits)).astype("i8") - self.first) * self.segment_bytes
         own = keys & np.uint64((1 << (64 - self.bucket_bits)) - 1)
         if kind == 2:
             own = own >> np.uint64(24 - self.bucket_bits)
@@ -198,6 +203,14 @@ class LogFrequencyFilter:
         return out
 
 
+class StoredFilter(NamedTuple):
+    """A filter too large to broadcast: ``frame`` holds its segments (bucket, bits) in the shared folder."""
+
+    bucket_bits: int
+    segment_bytes: int
+    frame: DataFrame
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
@@ -213,17 +226,20 @@ def train(docs: DataFrame, text: str = "text", bucket_bits: int | None = None):
         sent.groupBy("kind", "bucket").applyInArrow(_merge, "kind int, bucket int, entries long, blob binary"), "ngrams"
     )
     entries = merged.agg(F.sum("entries")).first()[0] or 0
-    segment_bytes = max(64, min(MAX_FILTER_BYTES, entries * BITS_PER_ENTRY // 8) >> bucket_bits)
+    segment_bytes = max(64, entries * BITS_PER_ENTRY // 8 >> bucket_bits)
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         parts = list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([LogFrequencyFilter.segment(segment_bytes, parts)], pa.binary())})
 
-    data = np.zeros(segment_bytes << bucket_bits, "u1")
-    # At most MAX_FILTER_BYTES, whatever the corpus.
-    for r in merged.select("kind", "bucket", "blob").groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").toLocalIterator():
-        data[r[0] * segment_bytes : (r[0] + 1) * segment_bytes] = np.frombuffer(r[1], "u1")
-    model = LogFrequencyFilter(bucket_bits, segment_bytes, data)
+    segments = merged.select("kind", "bucket", "blob").groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
+    if segment_bytes << bucket_bits > MAX_FILTER_BYTES:
+        model = StoredFilter(bucket_bits, segment_bytes, materialize(segments, "filter"))
+    else:
+        data = np.zeros(segment_bytes << bucket_bits, "u1")
+        for r in segments.toLocalIterator():
+            data[r[0] * segment_bytes : (r[0] + 1) * segment_bytes] = np.frombuffer(r[1], "u1")
+        model = LogFrequencyFilter(bucket_bits, segment_bytes, data)
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,60 +262,164 @@ def train(docs: DataFrame, text: str = "text", bucket_bits: int | None = None):
     return model, n, v, counts, keys[order], top["c"].to_numpy("i8")[order]
 
 
-def _score(shared, n: int, v: int):
-    """Rows of documents (kind 0) and of their words that the table of frequent ones lacks (kind 1)."""
+def _rows(ids: np.ndarray, doc_ids: pa.Array, n_tokens: np.ndarray, word: np.ndarray, back: np.ndarray, c1: np.ndarray, c2: np.ndarray, top, n: int, v: int) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (kind 0) and of their words that the table of frequent ones lacks (kind 1).
+
+    ``c1`` has the filter's count of each distinct word, ``c2`` that of the pair at each token.
+    """
     total = n + ADD * (v + 1)
+    keys, key_counts = top
+    m = len(ids)
+    doc = np.repeat(np.arange(m), n_tokens)
+    k = np.searchsorted(keys, word)
+    k[k == len(keys)] = 0
+    known = keys[k] == word if len(keys) else np.zeros(len(word), bool)
+    exact = np.where(known, key_counts[k] if len(keys) else 0, 0)
+    base = np.where(known, np.log10((exact + ADD) / total), 0.0)[back]
+    p1 = ((c1 + ADD) / total)[back]
+    end = np.searchsorted(word, END)
+    ctx = np.concatenate((c1[back[:1]] * 0 + c1[end], c1[back][:-1]))
+    p = (np.minimum(c2, ctx) + MU * p1) / (ctx + MU)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids), pa.array(np.zeros(m, "i4")), doc_ids,
+            pa.array(n_tokens), pa.array(np.bincount(doc, known[back], m).astype("i8")),
+            pa.array(np.bincount(doc, base, m)), pa.array(np.bincount(doc, np.log10(p), m)),
+            pa.array(tx.mix(ids.view("u8")).view("i8")), pa.array(np.zeros(m, "i8")),
+        ],
+        names=_ROW,
+    )
+    rare = np.flatnonzero(~known[back])
+    if len(rare):
+        d, w = doc[rare], back[rare]
+        code, times = np.unique(d * len(word) + w, return_counts=True)
+        z = np.zeros(len(code))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids[code // len(word)]), pa.array(np.ones(len(code), "i4")), pa.nulls(len(code), pa.int64()),
+                pa.array(z.astype("i8")), pa.array(z.astype("i8")), pa.array(z), pa.array(z),
+                pa.array(word[code % len(word)].view("i8")), pa.array(times.astype("i8")),
+            ],
+            names=_ROW,
+        )
+
+
+def _score(shared, n: int, v: int):
+    """Rows of documents and of their rare words, by the filter that was broadcast."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket_bits, segment_bytes, bits, top, top_counts = shared.value
+        bucket_bits, segment_bytes, bits, *top = shared.value
         model = LogFrequencyFilter(bucket_bits, segment_bytes, bits)
         row = np.int64(TaskContext.get().partitionId()) << np.int64(36)
         for batch in batches:
             for i, j, data, at in tx.pieces(batch.column(1)):
                 t, first = tokens(data, at)
-                doc = np.repeat(np.arange(j - i), np.diff(first))
                 word, back = np.unique(t, return_inverse=True)
-                k = np.searchsorted(top, word)
-                k[k == len(top)] = 0
-                known = top[k] == word if len(top) else np.zeros(len(word), bool)
-                exact = np.where(known, top_counts[k] if len(top) else 0, 0)
-                base = np.where(known, np.log10((exact + ADD) / total), 0.0)[back]
-                c1 = value(model.levels(word, 1), 1)
-                p1 = ((c1 + ADD) / total)[back]
-                end = np.searchsorted(word, END)
-                ctx = np.concatenate((c1[back[:1]] * 0 + c1[end], c1[back][:-1]))
                 pair, pair_back = np.unique(pairs(t), return_inverse=True)
-                c2 = value(model.levels(pair, 2), 2)[pair_back]
-                p = (np.minimum(c2, ctx) + MU * p1) / (ctx + MU)
-                m = j - i
-                ids = row + np.arange(m)
-                row += m
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids), pa.array(np.zeros(m, "i4")), batch.column(0).slice(i, m).cast(pa.int64()),
-                        pa.array(np.diff(first)), pa.array(np.bincount(doc, known[back], m).astype("i8")),
-                        pa.array(np.bincount(doc, base, m)), pa.array(np.bincount(doc, np.log10(p), m)),
-                        pa.array(tx.mix(ids.view("u8")).view("i8")), pa.array(np.zeros(m, "i8")),
-                    ],
-                    names=_ROW,
-                )
-                rare = np.flatnonzero(~known[back])
-                if len(rare):
-                    d, w = doc[rare], back[rare]
-                    code, times = np.unique(d * len(word) + w, return_counts=True)
-                    z = np.zeros(len(code))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[code // len(word)]), pa.array(np.ones(len(code), "i4")), pa.nulls(len(code), pa.int64()),
-                            pa.array(z.astype("i8")), pa.array(z.astype("i8")), pa.array(z), pa.array(z),
-                            pa.array(word[code % len(word)].view("i8")), pa.array(times.astype("i8")),
-                        ],
-                        names=_ROW,
-                    )
+                c1, c2 = value(model.levels(word, 1), 1), value(model.levels(pair, 2), 2)[pair_back]
+                ids = row + np.arange(j - i)
+                row += j - i
+                yield from _rows(ids, batch.column(0).slice(i, j - i).cast(pa.int64()), np.diff(first), word, back, c1, c2, top, n, v)
+
+    return score
+
+
+def _probes(bucket_bits: int):
+    """(chunk, kind, bucket, blob): a chunk's documents (kind 0), and by bucket its distinct words and pairs.
+
+    A chunk is named by the row of its first document.
+    """
+
+    def flush(chunk: int, ids: list[pa.Array], sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+        t, doc_ids = np.concatenate(parts), pa.concat_arrays(ids)
+        word, back = np.unique(t, return_inverse=True)
+        there = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+        held = [np.array([len(doc_ids), len(word)]), doc_ids.fill_null(0).to_numpy(), np.concatenate(sizes), word.view("i8"), back.astype("i4"), there]
+        rows = [(0, 0, b"".join(x.tobytes() for x in held))]
+        for kind, keys in ((1, word), (2, np.unique(pairs(t)))):
+            cut = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype="u8") << np.uint64(64 - bucket_bits))
+            cut = np.append(cut, len(keys))
+            rows += [(kind, b, keys[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        kind, bucket, blob = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(rows), chunk, "i8")), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())],
+            names=["chunk", "kind", "bucket", "blob"],
+        )
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = row = TaskContext.get().partitionId() << 36
+        held: tuple[list, list, list] = [], [], []
+        n = 0
+        for batch in batches:
+            for i, j, data, at in tx.pieces(batch.column(1)):
+                t, first = tokens(data, at)
+                for part, x in zip(held, (batch.column(0).slice(i, j - i).cast(pa.int64()), np.diff(first), t), strict=True):
+                    part.append(x)
+                row += j - i
+                n += len(t)
+                if n >= CHUNK:
+                    yield flush(chunk, *held)
+                    held, chunk, n = ([], [], []), row, 0
+        if n:
+            yield flush(chunk, *held)
+
+    return probe
+
+
+def _look_up(bucket_bits: int, segment_bytes: int):
+    """The levels, a byte each, of the n-grams sent to one bucket."""
+
+    def look(key: tuple, probes: pa.Table, segment: pa.Table) -> pa.Table:
+        bits = segment.column("bits")[0].as_buffer() if segment.num_rows else bytes(segment_bytes)
+        model = LogFrequencyFilter(bucket_bits, segment_bytes, np.frombuffer(bits, "u1"), key[0].as_py())
+        found = [
+            model.levels(np.frombuffer(b.as_buffer(), "u8"), k.as_py()).astype("u1").tobytes()
+            for k, b in zip(probes.column("kind"), probes.column("blob"), strict=True)
+        ]
+        return pa.table([*(probes.column(c) for c in ("chunk", "kind", "bucket")), pa.array(found, pa.binary())], names=["chunk", "kind", "bucket", "blob"])
+
+    return look
+
+
+def _score_chunk(shared, n: int, v: int):
+    """Rows of one chunk's documents and of their rare words, from the levels that came back."""
+
+    def score(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        blobs: dict[int, list] = {0: [], 1: [], 2: []}
+        for k, b in zip(table.column("kind"), table.column("blob"), strict=True):
+            blobs[k.as_py()].append(b.as_buffer())
+        m, w = np.frombuffer(blobs[0][0], "i8", 2).tolist()
+        numbers = np.frombuffer(blobs[0][0], "i8", 2 * m + w, 16)
+        doc_ids, n_tokens, word = numbers[:m], numbers[m : 2 * m], numbers[2 * m :].view("u8")
+        at = 16 + 8 * len(numbers)
+        back = np.frombuffer(blobs[0][0], "i4", int(n_tokens.sum()), at).astype("i8")
+        there = np.frombuffer(blobs[0][0], bool, m, at + 4 * len(back))
+        one, two = (np.frombuffer(b"".join(blobs[k]), "u1").astype("i8") for k in (1, 2))
+        pair_back = np.unique(pairs(word[back]), return_inverse=True)[1]
+        ids = key[0].as_py() + np.arange(m)
+        made = _rows(ids, pa.array(doc_ids, mask=~there), n_tokens, word, back, value(one, 1), value(two, 2)[pair_back], shared.value, n, v)
+        return pa.Table.from_batches(list(made))
 
     return score
 
 
+def _by_segments(docs: DataFrame, model: StoredFilter, shared, n: int, v: int) -> DataFrame:
+    """The rows of ``_score`` where n-grams go to the segments of a stored filter."""
+    schema = "chunk long, kind int, bucket int, blob binary"
+    sent = materialize(docs.mapInArrow(_probes(model.bucket_bits), schema), "probes")
+    asked = sent.where("kind > 0")
+    size = asked.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
+    # A bucket's n-grams are dealt to so many tasks, each with the bucket's segment.
+    parts = 1 + size // (LOOKED_UP_BYTES << model.bucket_bits)
+    segments = model.frame.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
+    found = dealt.groupBy("bucket", "part").cogroup(segments.groupBy("bucket", "part")).applyInArrow(
+        _look_up(model.bucket_bits, model.segment_bytes), schema
+    )
+    return sent.where("kind = 0").unionByName(found).groupBy("chunk").applyInArrow(_score_chunk(shared, n, v), _ROW_SCHEMA)
+
+
 _ROW = ["row", "kind", "doc_id", "n_tokens", "n_known", "base", "score", "key", "times"]
 _ROW_SCHEMA = "row long, kind int, doc_id long, n_tokens long, n_known long, base double, score double, key long, times long"
 
@@ -307,8 +427,12 @@ _ROW_SCHEMA = "row long, kind int, doc_id long, n_tokens long, n_known long, bas
 def score_documents(docs: DataFrame, trained) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each row of ``docs`` (doc_id, text)."""
     model, n, v, counts, top, top_counts = trained
-    shared = docs.sparkSession.sparkContext.broadcast((model.bucket_bits, model.segment_bytes, model.data, top, top_counts))
-    rows = docs.select("doc_id", "text").mapInArrow(_score(shared, n, v), _ROW_SCHEMA)
+    context = docs.sparkSession.sparkContext
+    if isinstance(model, StoredFilter):
+        rows = _by_segments(docs.select("doc_id", "text"), model, context.broadcast((top, top_counts)), n, v)
+    else:
+        shared = context.broadcast((model.bucket_bits, model.segment_bytes, model.data, top, top_counts))
+        rows = docs.select("doc_id", "text").mapInArrow(_score(shared, n, v), _ROW_SCHEMA)
     joined = rows.join(counts, "key", "left")
     c = F.coalesce("c", F.lit(0))
     rare = F.col("kind") == 1

@@ -306,6 +306,20 @@ def test_language_model(docs, none, monkeypatch, frequent):
     assert language_model.score_documents(none, language_model.train(none)).count() == 0
 
 
+def test_language_model_large_filter(docs, none, monkeypatch):
+    """A filter beyond the broadcast bound keeps its bits, and gives the same scores from its segments."""
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], *r[1:])
+    score = lambda: sorted(map(key, language_model.score_documents(docs, language_model.train(docs, bucket_bits=2)).collect()))
+    want = score()
+    monkeypatch.setattr(language_model, "MAX_FILTER_BYTES", 512)
+    monkeypatch.setattr(language_model, "CHUNK", 500, raising=False)
+    monkeypatch.setattr(language_model, "LOOKED_UP_BYTES", 100, raising=False)
+    got = score()
+    assert [g[:5] for g in got] == [w[:5] for w in want] and len(got) == len(rows())
+    assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-12, atol=1e-9)
+    assert language_model.score_documents(none, language_model.train(docs)).count() == 0
+
+
 def test_log_frequency_filter():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 5000, dtype="u8") * np.uint64(2))
     counts = np.arange(1, 5001)
