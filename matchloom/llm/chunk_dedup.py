@@ -8,8 +8,9 @@ again, and a passage that documents share has the same chunks in all of them.
 
 Chunks are named by 128-bit digests. For each digest the first occurrence stays (the
 smallest doc_id, null last, then the earliest row and place), all others are removed.
-Only chunks of ``LEAST`` bytes or more are compared, so that short endings, which equal
-others by chance, stay. Digests are counted with partial aggregation; those that
+A last chunk of less than ``LEAST`` bytes would equal others by chance: it is named
+together with the chunk before it, and a text that is one short chunk by itself. (Without
+``whole`` these short chunks are not compared; the query compares them.) Digests are counted with partial aggregation; those that
 occur once, most of them, go no further. No digest's occurrences meet in one place.
 
 Defined results: a null or empty text has no chunks; repeated rows lose all but one
@@ -67,7 +68,16 @@ def cut_points(b: np.ndarray) -> list[int]:
     return ends
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(data: bytes, before: int, begin: int, end: int, whole: bool) -> bytes | None:
+    """The name of the chunk from ``begin`` to ``end``; the one before starts at ``before``."""
+    if end - begin >= LEAST:
+        return hashlib.blake2b(data[begin:end], digest_size=16).digest()
+    if whole and end > begin:
+        return hashlib.blake2b(data[before:end], digest_size=16, person=b"short end").digest()
+    return None
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
     for batch in batches:
         for i, j, data, at in tx.pieces(batch.column(1)):
@@ -76,12 +86,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(j - i):
                 base = int(at[r])
                 ends = cut_points(data[base : at[r + 1]]) or [0]
-                begin = 0
+                before = begin = 0
                 for e in ends:
                     starts.append(begin)
                     sizes.append(e - begin)
-                    digests.append(hashlib.blake2b(whole[base + begin : base + e], digest_size=16).digest() if e - begin >= LEAST else None)
-                    begin = e
+                    digests.append(_digest(whole, base + before, base + begin, base + e, short))
+                    before, begin = begin, e
                 rows.append(row)
                 n.append(len(ends))
                 row += 1
@@ -92,10 +102,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def chunk_duplicates(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text): row, doc_id, n_bytes, n_chunks, and starts and ends of removed chunks."""
+def chunk_duplicates(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text): row, doc_id, n_bytes, n_chunks, and starts and ends of removed chunks.
+
+    With ``whole`` chunks of less than ``LEAST`` bytes are compared too.
+    """
     chunks = materialize(
-        docs.select("doc_id", "text").mapInArrow(_chunks, "row long, doc_id long, start long, size long, digest binary"), "chunks"
+        docs.select("doc_id", "text").mapInArrow(lambda b: _chunks(b, whole), "row long, doc_id long, start long, size long, digest binary"), "chunks"
     )
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("d"), "row", "start")
     named = chunks.where("digest is not null").select("digest", "row", "start", "size", place.alias("place"))
@@ -113,7 +126,7 @@ def chunk_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunk_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = chunk_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True)
     size = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         "doc_id", "n_bytes", "n_chunks", F.size("starts").cast("long").alias("n_removed_chunks"), size.alias("n_removed"), (size > 0).alias("removed")

@@ -273,6 +273,27 @@ def test_chunk_dedup(docs, none):
     assert len(digest(b) & digest(moved)) > 0.9 * len(digest(b))
 
 
+def test_chunk_dedup_short_chunks(spark, docs, tmp_path):
+    """The query also finds copies of texts and of endings that are shorter than a chunk."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = chunk_dedup.op7_chunk_dedup(spark, str(tmp_path)).collect()
+    seen, want, copies = set(), [], set()
+    for i, t in sorted(((r[0], r[1]) for r in rows()), key=lambda r: (r[0] is None, r[0] or 0)):
+        b = (t or "").encode()
+        ends = chunk_dedup.cut_points(np.frombuffer(b, "u1"))
+        names, gone = [], 0
+        for k, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
+            short = z - a < chunk_dedup.LEAST
+            names.append((short, b[([0, *ends][k - 1] if short and k else a) : z]))
+            gone += (z - a) * (names[-1] in seen or names[-1] in names[:-1])
+        seen |= set(names)
+        want.append((i, len(b), gone))
+        assert b not in copies or gone == len(b)
+        copies.add(b)
+    key = lambda r: (r[0] is None, *(x or 0 for x in r))
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_token_counts(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(token_counts.vocabulary_path())
