@@ -9,12 +9,13 @@ with a chance that is their similarity.
 1. Documents with equal sets are one node (128-bit digest of the sorted set).
 2. Inverted lists: each list is keyed by four retained values together. Keys of one
    value would put every document with a common passage in one list; with four, a
-   pair at similarity 0.85 still meets in one of 24 lists but for a chance of 2e-7.
+   pair at similarity 0.85 still meets in one of 24 lists but for a chance of 2e-7
+   (at the stage's 0.8, by 24 independent lists: (1 - 0.8**4)**24 = 3e-6).
 3. A short list gives all its pairs. A long list gives each member paired with the
    list's hub, the member whose own lists are longest; so a group of thousands of
    copies costs its size, not its square.
 4. Sketches of the pairs estimate the similarity on their union; pairs far below the
-   threshold go (sets of 200 or more: four and a half standard deviations).
+   threshold go (sets of 200 or more: ``DEVIATIONS`` standard deviations).
 5. The others are compared exactly, on their full sets of shingles from the texts.
 6. Where a long list is left with more than one component, its members are joined
    again by an exact prefix filter: a document's shingles in order of rarity among
@@ -49,11 +50,13 @@ from matchloom.llm.spans import sized
 from matchloom.session import materialize
 
 SHINGLE, PERCENT = 5, 85
+#: The stage of the pipeline links from this similarity on; ``PERCENT`` is the contract of the query.
+STAGE_PERCENT = 80
 BANDS, ROWS = 24, 4
 STRATA = BANDS * ROWS
 SHORT_LIST = 8
-#: Share of agreeing strata below which a pair of large sets is dropped unseen.
-LEAST_ESTIMATE, LARGE_SET = 0.68, 200
+#: A pair of large sets is dropped unseen if so many standard deviations fewer strata agree than at the threshold.
+DEVIATIONS, LARGE_SET = 4.67, 200
 
 _SIGNATURE = "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"
 
@@ -144,16 +147,26 @@ def _verified(percent: int):
     return verify
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def least_estimate(percent: int) -> float:
+    """Share of agreeing strata below which a pair of large sets is dropped (0.68 at 85, 0.61 at 80)."""
+    p = percent / 100
+    return p - DEVIATIONS * (p * (1 - p) / STRATA) ** 0.5
+
+
+def _estimate(percent: int):
     """Pairs whose sketches agree enough, or whose sets are too small to tell."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u4").reshape(n, STRATA) for k in (4, 5))
-        small = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) < LARGE_SET
-        near = (x == y).mean(axis=1) >= LEAST_ESTIMATE
-        yield batch.select([0, 1]).filter(pa.array(small | near))
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u4").reshape(n, STRATA) for k in (4, 5))
+            small = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) < LARGE_SET
+            near = (x == y).mean(axis=1) >= least_estimate(percent)
+            yield batch.select([0, 1]).filter(pa.array(small | near))
+
+    return estimate
 
 
 def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +175,7 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: in
     known = deal_join(deal_join(pairs, by("a"), "a", "b"), by("b"), "b", "a", counted=pairs)
     known = known.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     likely = materialize(
-        known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate, "a long, b long"), "likely"
+        known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate(percent), "a long, b long"), "likely"
     )
     ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # Texts are picked where they are read, if the ids are few enough to broadcast.
@@ -266,6 +279,6 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one whose doc_id names the component."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = near_duplicates(docs.select("doc_id", "text"), STAGE_PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(sized(gone), "doc_id", "left_anti")

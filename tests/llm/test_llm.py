@@ -123,6 +123,31 @@ def test_near_dedup_long_lists(spark):
     assert got == want
 
 
+def test_near_dedup_stage(spark):
+    """The stage links from a similarity of 0.8 on, in small sets and in those large enough for the estimate."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(24):
+        n = (60, 100, 400, 800)[g % 4]
+        base = [f"g{g}w{i}" for i in range(n)]
+        for share in (0, 0.010, 0.019, 0.021, 0.03):
+            w = list(base)
+            for j in rng.sample(range(2, n // 7), round(share * n)):
+                w[j * 7] = f"g{g}s{share}n{j}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+    pairs = [(len(x & y) / len(x | y), i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i])]
+    assert sum(0.8 <= p < 0.85 for p, _, _ in pairs) > 10
+    for p, i, j in pairs:
+        if p >= 0.8:
+            a, b = sorted((up[i], up[j]))
+            up = [a if x == b else x for x in up]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_dedup.stage(spark, d, "").collect()} == set(up)
+
+
 def test_sharding(docs, none):
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumn("size", F.octet_length(text) + 1)
