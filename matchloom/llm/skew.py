@@ -40,6 +40,16 @@ def with_counts(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def split_join(rows: DataFrame, side: DataFrame, key: str | list[str], count: str, limit: int) -> DataFrame:
+    """Written ``rows`` joined with written ``side`` (a row a key; ``count``: the key's rows); hot keys are broadcast."""
+    hot = side.where(F.col(count) > limit)
+    if hot.isEmpty():
+        return rows.join(side, key)
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(side.where(F.col(count) <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def deal_join(pairs: DataFrame, side: DataFrame, key: str, other: str, counted: DataFrame | None = None) -> DataFrame:
     """``pairs`` joined with ``side`` (a row a key); the rows of a hot key are dealt to parts by ``other``.
 

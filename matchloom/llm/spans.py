@@ -10,14 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side with more rows than this is joined by a shuffle instead of a broadcast.
-BROADCAST_ROWS = 1_000_000
+from matchloom.llm import text as tx
 
+#: A side of more bytes than this is joined by a shuffle instead of a broadcast.
+BROADCAST_BYTES = 32 << 20
+_WIDTH = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4}
 
-def sized(side: DataFrame, weight: str | None = None) -> DataFrame:
-    """``side`` with a broadcast hint if its measured rows (or sum of ``weight``) are few enough."""
-    n = side.count() if weight is None else side.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(side) if n <= BROADCAST_ROWS else side
+
+def sized(side: DataFrame, weight: str | None = None, width: int = 16) -> DataFrame:
+    """``side`` (written, so it can be measured) with a broadcast hint if it is small enough.
+
+    Its bytes are its rows times their fixed width, and what strings, binaries and arrays hold:
+    the sum of ``weight`` elements of ``width`` bytes each, or of the lengths of strings and binaries.
+    """
+    fixed = sum(_WIDTH.get(f.dataType.typeName(), 8) for f in side.schema.fields) + 16
+    if weight is not None:
+        held = F.coalesce(F.sum(F.col(weight).cast("long") * width), F.lit(0))
+    else:
+        long_ = [F.coalesce(F.octet_length(f"`{f.name}`").cast("long"), F.lit(0)) for f in side.schema.fields if f.dataType.typeName() in ("string", "binary")]
+        held = F.coalesce(F.sum(sum(long_, F.lit(0))), F.lit(0))
+    n, more = side.agg(F.count(F.lit(1)), held).first()
+    return F.broadcast(side) if n * fixed + more <= BROADCAST_BYTES else side
 
 
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +65,7 @@ def _cut(keep_text: bool):
                 [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
+        tx.release()
 
     return cut
 

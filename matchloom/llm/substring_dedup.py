@@ -1,32 +1,40 @@
 r"""Repeated 400-byte substrings by prefix-free parsing.
 
-Parsing. A rolling hash over ``GRAM`` bytes triggers phrases: every window of
-``LENGTH`` bytes has one smallest trigger value, which hangs on the window's bytes
-alone; a phrase is a run of consecutive windows with one trigger value, with the bytes
-they cover. So equal windows lie in phrases with equal triggers, wherever they stand.
+Parsing. A rolling hash over ``GRAM`` bytes gives every window of ``LENGTH`` bytes one
+trigger: the gram in it with the smallest hash, the first of equal ones. It hangs on the
+window's bytes alone. Texts are cut at their triggers; the phrase of a trigger is the
+run of windows that have it, with the bytes they cover (on the average half of
+``LENGTH``). So equal windows lie in phrases with equal triggers, at the same distance
+from it, wherever they stand. Neighbouring equal phrases (periodic text) are one row.
 
 Dictionary and parse. Phrases are equal if trigger and whole bytes are (128 bits of
 hashes); the dictionary holds each distinct one with the number of its occurrences in
 the parse. A phrase that occurs twice is repeated as a whole. A trigger that one phrase
-alone has repeats nothing. Only triggers with several distinct phrases are left, about
-a twentieth of all phrases: their bytes are fetched once for each distinct phrase.
-
-Corpus order. Trigger by trigger, the windows of the dictionary's phrases are put in
-the order of their bytes (a suffix array of the dictionary to the depth of one window;
-the corpus has the same order, as equal phrases stand together in it), and neighbours
-are compared byte by byte. Windows equal to a neighbour are repeated. A trigger with
-more than ``HOT`` distinct phrases (a common passage in ever different surroundings) is
-not put into one task: cells of neighbouring windows, and of the windows only those at
-the borders of what is repeated, become rows of 128-bit hashes, counted with partial
-aggregation, which needs no group in one place.
-
-Phrases of other triggers are never compared, no pairs are made. Texts are scanned
-twice and shuffled only where the dictionary's places or the spans are too many to
-broadcast (``spans.BROADCAST_ROWS``, measured).
+alone has repeats nothing else. Only triggers with several distinct phrases are left,
+about a twentieth of all phrases: their bytes are fetched once for each distinct phrase.
+
+Corpus order. A window at distance d before its trigger is a suffix of d bytes of what
+precedes the trigger in the dictionary, and the first ``LENGTH - d`` bytes of the parse
+from the trigger on. Both are put in order, trigger by trigger: the dictionary's left
+sides as reversed suffixes, the parse's right sides as suffixes to the depth of a
+window, with the bytes that neighbours have in common (LCP). For each d the order falls
+into classes of equal left sides and of equal right sides; two phrases in the same pair
+of classes have that window in common. Groups are settled together, ``BATCH`` phrases
+at a time. A trigger with more than ``GROUP`` distinct phrases (a common passage in ever
+different surroundings) is not put into one task: its classes are refined as tables, to
+cells of neighbouring windows and, at the borders of what is repeated, to windows,
+named by 128-bit hashes of those bytes and counted with partial aggregation.
+
+Phrases of other triggers are never compared, no pairs are made, and rows of a hot
+trigger or phrase are met by many tasks (``skew.py``). Texts are scanned twice and
+shuffled only where the dictionary's places or the spans are too many to broadcast
+(measured: ``spans.sized``).
 
 Defined results: null is empty; texts shorter than ``LENGTH`` bytes have no windows;
-windows don't cross documents; repeated rows are repetitions of each other, with or
-without a doc_id; an empty table gives no rows.
+very long texts are parsed in blocks and whole; windows don't cross documents; repeated
+rows are repetitions of each other, with or without a doc_id of any type, and so are
+ties: every one of several equal windows goes; other columns are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,14 +47,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
+from matchloom.llm.skew import hot_limit, split_join, with_counts
 from matchloom.llm.spans import remove_spans, sized, union
-from matchloom.session import materialize
+from matchloom.session import discard, materialize
 
 LENGTH, GRAM = 400, 128
-#: Windows of a phrase at most, and bytes of a text that are parsed at once.
-LONGEST_RUN, BLOCK = 1024, 1 << 20
-HOT, CELL = 256, 16
+#: Windows of a text that are parsed at once.
+BLOCK = 1 << 18
+GROUP, BATCH, CELL = 4096, 1 << 14, 16
 _B = 0x9E3779B97F4A7C15
+_PLACE = np.uint64((1 << 21) - 1)
+#: A phrase's shape in one number: first window (31 bits), windows (9), trigger's distance from the first (9), times (14).
+MOST_TIMES = (1 << 14) - 1
 
 
 class _Powers:
@@ -67,15 +79,16 @@ class _Powers:
 
 
 def parse(b: np.ndarray, powers: _Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first window, windows, trigger, hash of the whole, trigger found twice) of each phrase of ``b``."""
+    """(first window, windows, distance of the trigger, times, trigger, hash of the whole) of each phrase of ``b``."""
     n = len(b)
     if n < length:
-        return tuple(np.zeros(0, k) for k in ("i8", "i8", "u8", "u8", bool))
+        return (*(np.zeros(0, "i8") for _ in range(4)), *(np.zeros(0, "u8") for _ in range(2)))
     up, down = powers.to(n + 1)
     prefix = np.zeros(n + 1, "u8")
     np.cumsum(tx._CODE[b] * up[:n], out=prefix[1:])
     h = tx.mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
-    span, m, have = length - gram + 1, h, 1
+    span, have = length - gram + 1, 1
+    m = (h & ~_PLACE) | np.arange(len(h), dtype="u8")
     while 2 * have <= span:
         m = np.minimum(m[:-have], m[have:])
         have *= 2
@@ -83,14 +96,24 @@ def parse(b: np.ndarray, powers: _Powers, length: int = LENGTH, gram: int = GRAM
         m = np.minimum(m[: len(m) - (span - have)], m[span - have :])
     first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
     stop = np.append(first[1:], len(m))
-    if (stop - first).max() > LONGEST_RUN:
-        first = np.unique(np.concatenate([np.arange(a, z, LONGEST_RUN) for a, z in zip(first, stop, strict=True)]))
-        stop = np.append(first[1:], len(m))
-    run = stop - first
-    trigger = m[first]
+    run, place = stop - first, (m[first] & _PLACE).astype("i8")
+    trigger = h[place]
     whole = tx.mix((prefix[stop - 1 + length] - prefix[first]) * down[first] + run.astype("u8"))
-    twice = np.fromiter(((h[a : z - 1 + span] == t).sum() > 1 for a, z, t in zip(first.tolist(), stop.tolist(), trigger, strict=True)), bool, len(first))
-    return first, run, trigger, whole, twice
+    alike = (trigger[1:] == trigger[:-1]) & (whole[1:] == whole[:-1])
+    new = np.flatnonzero(np.concatenate(([True], ~alike)))
+    times = np.diff(np.append(new, len(first)))
+    if times.max() > MOST_TIMES:
+        new = np.unique(np.concatenate([new, *(np.arange(a, a + t, MOST_TIMES) for a, t in zip(new, times, strict=True) if t > MOST_TIMES)]))
+        times = np.diff(np.append(new, len(first)))
+    return first[new], run[new], place[new] - first[new], times, trigger[new], whole[new]
+
+
+def _field(name: str, at: int, bits: int):
+    return F.shiftright("shape", at).bitwiseAND(F.lit((1 << bits) - 1)).alias(name)
+
+
+#: The parts of ``shape``.
+FIRST, RUN, AT, TIMES = _FIELDS = ("first", 0, 31), ("run", 31, 9), ("at", 40, 9), ("times", 49, 14)
 
 
 def _blocks(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,52 +125,76 @@ def _blocks(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
-        keys = batch.column(0)
+        keys = batch.column(0).to_numpy()
         for i, j, data, at in tx.pieces(batch.column(1)):
             parts = []
             for r in range(j - i):
                 for offset, b in _blocks(data[at[r] : at[r + 1]]):
-                    first, run, trigger, whole, twice = parse(b, powers)
+                    first, run, place, times, trigger, whole = parse(b, powers)
                     if len(first):
-                        parts.append((np.full(len(first), keys[i + r].as_py(), "i8"), first + offset, run, trigger.view("i8"), whole.view("i8"), twice))
+                        shape = (first + offset) | run << 31 | place << 40 | times << 49
+                        parts.append((np.full(len(first), keys[i + r], "i8"), shape, trigger.view("i8"), whole.view("i8")))
             if parts:
-                key, first, run, trigger, whole, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key, first, run.astype("i4"), trigger, whole, twice)],
-                    names=["key", "first", "run", "trigger", "whole", "twice"],
-                )
+                columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "shape", "trigger", "whole"])
+    tx.release()
+
+
+_DATA = "trigger long, whole long, c long, at int, run int, bytes binary"
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the dictionary's phrases, from the text that holds them."""
     for batch in batches:
-        text, places = batch.column(0), batch.column(1)
         for k in range(batch.num_rows):
-            data = text[k].as_py().encode()
-            p = places[k].as_py()
+            data = batch.column(0)[k].as_py().encode()
+            p = batch.column(1)[k].as_py()
+            column = lambda name, kind: pa.array([x[name] for x in p], kind)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x["trigger"] for x in p], pa.int64()),
-                    pa.array([x["whole"] for x in p], pa.int64()),
-                    pa.array([x["hot"] for x in p], pa.bool_()),
+                    *(column(n, pa.int64()) for n in ("trigger", "whole", "c")),
+                    *(column(n, pa.int32()) for n in ("at", "run")),
                     pa.array([data[x["first"] : x["first"] + x["run"] - 1 + LENGTH] for x in p], pa.binary()),
                 ],
-                names=["trigger", "whole", "hot", "bytes"],
+                names=["trigger", "whole", "c", "at", "run", "bytes"],
             )
+    tx.release()
+
+
+def suffix_order(group: np.ndarray, sides: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of ``sides`` by group and bytes; bytes that each has in common with the one before, -1 across groups)."""
+    order = np.array(sorted(range(len(sides)), key=lambda k: (group[k], sides[k])), int)
+    width = max(map(len, sides)) + 1
+    m = np.frombuffer(b"".join(sides[k].ljust(width, b"\0") for k in order.tolist()), "u1").reshape(-1, width)
+    size = np.array([len(sides[k]) for k in order.tolist()])
+    differ = m[1:] != m[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    common = np.minimum(common, np.minimum(size[1:], size[:-1]))
+    return order, np.concatenate(([-1], np.where(group[order][1:] == group[order][:-1], common, -1)))
 
 
-def repeated_windows(phrases: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """Of each phrase which windows equal another window of any of ``phrases``: corpus order of all windows."""
-    starts = [len(p) - length + 1 for p in phrases]
-    corpus = b"".join(phrases)
-    base = np.cumsum([0, *map(len, phrases[:-1])])
-    at = np.concatenate([np.arange(n) + b for n, b in zip(starts, base, strict=True)])
-    order = sorted(at.tolist(), key=lambda i: corpus[i : i + length])
-    repeated = np.zeros(len(corpus), bool)
-    for x, y in zip(order, order[1:], strict=False):
-        if corpus[x : x + length] == corpus[y : y + length]:
-            repeated[x] = repeated[y] = True
-    return [repeated[b : b + n] for n, b in zip(starts, base, strict=True)]
+def repeated_windows(group: np.ndarray, at: np.ndarray, run: np.ndarray, phrases: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """Of each phrase which windows equal a window of another phrase of its group (the groups are triggers).
+
+    ``at``: distance of the trigger from a phrase's start; ``run``: windows of the phrase.
+    """
+    n = len(phrases)
+    right, lcp = suffix_order(group, [p[a:] for p, a in zip(phrases, at.tolist(), strict=True)])
+    left, lcs = suffix_order(group, [p[:a][::-1] for p, a in zip(phrases, at.tolist(), strict=True)])
+    flags = np.zeros((n, int(run.max())), bool)
+    sides = np.zeros((2, n), "i8")
+    for d in range(int((at - run).min()) + 1, int(at.max()) + 1):
+        there = np.flatnonzero((at - run < d) & (d <= at))
+        if len(there) < 2:
+            continue
+        sides[0, right] = np.cumsum(lcp < length - d)
+        sides[1, left] = np.cumsum(lcs < d)
+        code = sides[0, there] * (n + 1) + sides[1, there]
+        order = np.argsort(code, kind="stable")
+        same = code[order][1:] == code[order][:-1]
+        twice = there[order[np.append(same, False) | np.append(False, same)]]
+        flags[twice, at[twice] - d] = True
+    return [flags[k, :r] for k, r in enumerate(run.tolist())]
 
 
 def _ranges(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -158,58 +205,51 @@ def _ranges(flags: np.ndarray) -> tuple[list[int], list[int]]:
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by trigger; (trigger, whole, lo, hi): ranges of repeated windows."""
 
-    def settle(trigger: int, rows: list[tuple[int, bytes]]):
-        lo, hi, whole = [], [], []
-        for (w, _), flags in zip(rows, repeated_windows([b for _, b in rows]), strict=True):
-            a, z = _ranges(flags)
-            lo.append(a)
-            hi.append(z)
-            whole.append(w)
-        kind = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([trigger] * len(rows), pa.int64()), pa.array(whole, pa.int64()), pa.array(lo, kind), pa.array(hi, kind)],
-            names=["trigger", "whole", "lo", "hi"],
-        )
-
-    now, rows = None, []
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        trigger, whole, at, run, data = zip(*rows, strict=True)
+        flags = repeated_windows(np.array(trigger, "i8"), np.array(at), np.array(run), list(data))
+        found = [(t, w, *_ranges(f)) for t, w, f in zip(trigger, whole, flags, strict=True) if f.any()]
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["trigger", "whole", "lo", "hi"])
+
+    rows: list[tuple] = []
     for batch in batches:
-        for t, w, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if t != now and rows:
-                yield settle(now, rows)
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if rows and row[:2] == rows[-1][:2]:  # rows of the documents' table that are alike
+                continue
+            if len(rows) >= BATCH and row[0] != rows[-1][0]:
+                yield settle(rows)
                 rows = []
-            now = t
-            rows.append((w, b))
+            rows.append(row)
     if rows:
-        yield settle(now, rows)
+        yield settle(rows)
+    tx.release()
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases with a hot trigger, cut into cells of up to ``CELL`` neighbouring windows.
 
-    A window's place is the distance from its start to the first trigger in it, which
-    equal windows share; cells are cut by that distance. (trigger, whole, lo: first
-    window; w1, w2: hashes of the windows; c1, c2: of the bytes that all windows of
-    such a cell have in common; f1, f2: of all bytes of this one.)
+    Cells are cut by the windows' distance from the trigger, which equal windows share.
+    (trigger, whole, lo: first window; w1, w2: hashes of the windows; c1, c2: of the
+    bytes that all windows of such a cell have in common; f1, f2: of all bytes of this one.)
     """
     powers = _Powers()
     codes = (tx._CODE, tx.mix(tx._CODE))
     for batch in batches:
-        for t, w, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for t, w, first, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             b = np.frombuffer(data, "u1")
             up, down = powers.to(len(b) + 1)
             sums = [np.concatenate((np.zeros(1, "u8"), np.cumsum(code[b] * up[: len(b)], dtype="u8"))) for code in codes]
             of = lambda p, x, y: (p[y] - p[x]) * down[x]  # noqa: E731, B023  hash of bytes x to y
-            gram = np.arange(len(b) - GRAM + 1)
-            at = np.flatnonzero(tx.mix(of(sums[0], gram, gram + GRAM)).view("i8") == t)
             i = np.arange(len(b) - LENGTH + 1)
-            first = at[np.searchsorted(at, i)]
-            code = first * 2 * LENGTH + (first - i) // CELL
+            code = (first - i) // CELL
             lo = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
             hi = np.append(lo[1:], len(i)) - 1
-            core = first[lo] - (first[lo] - lo) // CELL * CELL
+            core = first - (first - lo) // CELL * CELL
             windows = [tx.mix(of(p, i, i + LENGTH)).view("i8") for p in sums]
             common = [tx.mix(of(p, core, core + LENGTH - CELL + 1) + np.uint64(1)).view("i8") for p in sums]
-            extent = ((first[lo] - lo) * LENGTH + hi - lo).astype("u8")
+            extent = ((first - lo) * LENGTH + hi - lo).astype("u8")
             whole = [tx.mix(of(p, lo, hi + LENGTH) + tx.mix(extent)).view("i8") for p in sums]
             cut = pa.array(np.append(lo, len(i)), pa.int32())
             lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in windows]
@@ -217,6 +257,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.full(len(lo), t, "i8")), pa.array(np.full(len(lo), w, "i8")), pa.array(lo, pa.int32()), *lists, *map(pa.array, (*common, *whole))],
                 names=["trigger", "whole", "lo", "w1", "w2", "c1", "c2", "f1", "f2"],
             )
+    tx.release()
 
 
 def _hot_ranges(data: DataFrame) -> DataFrame:
@@ -264,45 +305,48 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, starts, ends): byte intervals of ``docs`` (key, text) that repeated windows cover."""
-    phrases = materialize(
-        docs.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(
-            _phrases, "key long, first long, run int, trigger long, whole long, twice boolean"
-        ),
-        "phrases",
-    )
-    triggers = phrases.groupBy("trigger").agg(
-        F.count(F.lit(1)).alias("n"), F.min("whole").alias("x"), F.max("whole").alias("y"), F.max("twice").alias("twice")
-    )
-    triggers = triggers.where("n > 1 or twice").select("trigger", (F.col("twice") | (F.col("x") != F.col("y"))).alias("mixed"))
-    parse_ = materialize(phrases.join(triggers, "trigger").drop("twice"), "parse")
-    place = F.min(F.struct("key", "first", "run"))
-    words = parse_.groupBy("trigger", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), place.alias("at"))
-    dictionary = materialize(words.select("trigger", "whole", "n", "mixed", "at.*"), "dictionary")
-
-    open_ = dictionary.where("mixed")
-    crowd = open_.groupBy("trigger").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("trigger", F.lit(True).alias("hot"))
-    places = open_.join(crowd, "trigger", "left").select(
-        "key", F.struct("trigger", "whole", F.coalesce("hot", F.lit(False)).alias("hot"), "first", "run").alias("p")
-    )
-    places = materialize(places.groupBy("key").agg(F.collect_list("p").alias("places")), "places")
     one = docs.where(F.octet_length("text") >= LENGTH).select("key", "text")
-    held = one.join(sized(places.withColumn("c", F.size("places")), "c").drop("c"), "key").select("text", "places")
-    data = materialize(held.mapInArrow(_bytes_of, "trigger long, whole long, hot boolean, bytes binary"), "phrase-bytes")
-    data = data.dropDuplicates(["trigger", "whole"])
-
-    cold = data.where("not hot").select("trigger", "whole", "bytes").repartition("trigger").sortWithinPartitions("trigger")
-    ranges = cold.mapInArrow(_ordered, "trigger long, whole long, lo array<int>, hi array<int>")
-    hot = _hot_ranges(data.where("hot").select("trigger", "whole", "bytes"))
-    found = materialize(ranges.unionByName(hot).where(F.size("lo") > 0), "ranges")
-
-    full = dictionary.where("n > 1").select("trigger", "whole", F.array(F.lit(0)).alias("lo"), F.array("run").alias("hi"))
-    part = found.join(dictionary.where("n > 1"), ["trigger", "whole"], "left_anti")
-    marked = parse_.select("key", "first", "trigger", "whole").join(full.unionByName(part), ["trigger", "whole"])
-    spans = marked.select("key", "first", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select(
+    phrases = materialize(one.mapInArrow(_phrases, "key long, shape long, trigger long, whole long"), "phrases")
+    limit = hot_limit(phrases)
+    often = phrases.groupBy("trigger").agg(F.sum(_field(*TIMES)).alias("times"), F.count(F.lit(1)).alias("c")).where("times > 1")
+    parse_ = split_join(phrases, materialize(often.select("trigger", "c"), "triggers"), "trigger", "c", limit).drop("c")
+    parse_ = materialize(parse_, "parse")
+    words = parse_.groupBy("trigger", "whole").agg(
+        F.sum(_field(*TIMES)).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("key", "shape")).alias("at")
+    )
+    dictionary = materialize(words.select("trigger", "whole", "n", "rows", "at.*"), "dictionary")
+
+    # Phrases of a trigger with several, with c, their number; their places in texts.
+    several = with_counts(dictionary, "trigger", hot_limit(dictionary))
+    places = several.select("key", F.struct("trigger", "whole", "c", *[_field(*x) for x in (AT, RUN, FIRST)]).alias("p"))
+    places = materialize(places.groupBy("key").agg(F.collect_list("p").alias("places"), F.count(F.lit(1)).alias("many")), "places")
+    held = one.join(sized(places, "many", 64).drop("many"), "key").select("text", "places")
+    data = materialize(held.mapInArrow(_bytes_of, _DATA), "phrase-bytes")
+
+    columns = ("trigger", "whole", "at", "run", "bytes")
+    small = data.where(F.col("c") <= GROUP).select(*columns).repartition("trigger").sortWithinPartitions("trigger", "whole")
+    ranges = small.mapInArrow(_ordered, "trigger long, whole long, lo array<int>, hi array<int>")
+    large = data.where(F.col("c") > GROUP)
+    if not large.isEmpty():
+        large = large.dropDuplicates(["trigger", "whole"]).select("trigger", "whole", "at", "bytes")
+        ranges = ranges.unionByName(_hot_ranges(large))
+    found = materialize(ranges.where(F.size("lo") > 0), "ranges")
+
+    twice = dictionary.where("n > 1")
+    full = twice.select("trigger", "whole", "rows", F.lit(None).cast("array<int>").alias("lo"), F.lit(None).cast("array<int>").alias("hi"))
+    part = found.join(twice, ["trigger", "whole"], "left_anti").select("trigger", "whole", F.lit(1).cast("long").alias("rows"), "lo", "hi")
+    side = materialize(full.unionByName(part), "repeated")
+    marked = split_join(parse_, side, ["trigger", "whole"], "rows", limit)
+    marked = marked.select("key", *[_field(*x) for x in _FIELDS], "lo", "hi")
+    whole_run = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("run") * F.col("times")).alias("hi")))
+    some = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct(x["lo"].cast("long").alias("lo"), x["hi"].cast("long").alias("hi")))
+    spans = marked.select("key", "first", F.explode(F.when(F.col("lo").isNull(), whole_run).otherwise(some)).alias("r")).select(
         "key", (F.col("first") + F.col("r.lo")).alias("s"), (F.col("first") + F.col("r.hi") - 1 + LENGTH).alias("e")
     )
     by_key = spans.groupBy("key").agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
-    return materialize(by_key.mapInArrow(_merged, "key long, starts array<long>, ends array<long>"), "spans")
+    out = materialize(by_key.mapInArrow(_merged, "key long, starts array<long>, ends array<long>"), "spans")
+    discard(phrases, parse_, dictionary, places, data, found, side)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:

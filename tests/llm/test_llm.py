@@ -262,9 +262,9 @@ def spans_by_force(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_substring_dedup(docs, none, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "GROUP", hot)
     d = substring_dedup.keyed(docs)
     got = substring_dedup.remove_spans(d, substring_dedup.repeated_spans(d)).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()
     want = [(r[0], *s) for r, s in zip(rows(), spans_by_force([r[1] for r in rows()]), strict=True)]
