@@ -54,7 +54,7 @@ from matchloom.session import discard, materialize
 LENGTH, GRAM = 400, 128
 #: Windows of a text that are parsed at once.
 BLOCK = 1 << 18
-GROUP, BATCH, CELL = 4096, 1 << 14, 16
+GROUP, BATCH, CELL = 1024, 1 << 14, 16
 _B = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 21) - 1)
 #: A phrase's shape in one number: first window (31 bits), windows (9), trigger's distance from the first (9), times (14).
@@ -140,7 +140,7 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tx.release()
 
 
-_DATA = "trigger long, whole long, c long, at int, run int, bytes binary"
+_DATA = "trigger long, whole long, c long, twice boolean, at int, run int, bytes binary"
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +153,11 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     *(column(n, pa.int64()) for n in ("trigger", "whole", "c")),
+                    column("twice", pa.bool_()),
                     *(column(n, pa.int32()) for n in ("at", "run")),
                     pa.array([data[x["first"] : x["first"] + x["run"] - 1 + LENGTH] for x in p], pa.binary()),
                 ],
-                names=["trigger", "whole", "c", "at", "run", "bytes"],
+                names=["trigger", "whole", "c", "twice", "at", "run", "bytes"],
             )
     tx.release()
 
@@ -203,19 +204,19 @@ def _ranges(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by trigger; (trigger, whole, lo, hi): ranges of repeated windows."""
+    """Rows come sorted by trigger; (trigger, whole, lo, hi): ranges of repeated windows of phrases that don't occur twice."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        trigger, whole, at, run, data = zip(*rows, strict=True)
+        trigger, whole, twice, at, run, data = zip(*rows, strict=True)
         flags = repeated_windows(np.array(trigger, "i8"), np.array(at), np.array(run), list(data))
-        found = [(t, w, *_ranges(f)) for t, w, f in zip(trigger, whole, flags, strict=True) if f.any()]
+        found = [(t, w, *_ranges(f)) for t, w, x, f in zip(trigger, whole, twice, flags, strict=True) if not x and f.any()]
         columns = list(zip(*found, strict=True)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["trigger", "whole", "lo", "hi"])
 
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             if rows and row[:2] == rows[-1][:2]:  # rows of the documents' table that are alike
                 continue
             if len(rows) >= BATCH and row[0] != rows[-1][0]:
@@ -237,7 +238,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     codes = (tx._CODE, tx.mix(tx._CODE))
     for batch in batches:
-        for t, w, first, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for t, w, x, first, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             b = np.frombuffer(data, "u1")
             up, down = powers.to(len(b) + 1)
             sums = [np.concatenate((np.zeros(1, "u8"), np.cumsum(code[b] * up[: len(b)], dtype="u8"))) for code in codes]
@@ -254,39 +255,44 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = pa.array(np.append(lo, len(i)), pa.int32())
             lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in windows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(lo), t, "i8")), pa.array(np.full(len(lo), w, "i8")), pa.array(lo, pa.int32()), *lists, *map(pa.array, (*common, *whole))],
-                names=["trigger", "whole", "lo", "w1", "w2", "c1", "c2", "f1", "f2"],
+                [pa.array(np.full(len(lo), t, "i8")), pa.array(np.full(len(lo), w, "i8")), pa.array(np.full(len(lo), x, bool)), pa.array(lo, pa.int32()), *lists, *map(pa.array, (*common, *whole))],
+                names=["trigger", "whole", "twice", "lo", "w1", "w2", "c1", "c2", "f1", "f2"],
             )
     tx.release()
 
 
 def _hot_ranges(data: DataFrame) -> DataFrame:
-    """(trigger, whole, lo, hi) of phrases (trigger, whole, bytes) whose triggers are in very many phrases.
+    """(trigger, whole, lo, hi) of phrases (trigger, whole, twice, at, bytes) whose triggers are in very many phrases.
 
     Cells that occur as a whole elsewhere are repeated; cells whose common bytes occur
     nowhere else are not; the windows of the others, at the borders of what is
-    repeated, are rows. All counts have partial aggregation.
+    repeated, are rows. Counts have partial aggregation, and rows of a hot cell or
+    window are met by many tasks.
     """
-    cells = materialize(
-        data.mapInArrow(
-            _cells, "trigger long, whole long, lo int, w1 array<long>, w2 array<long>, c1 long, c2 long, f1 long, f2 long"
-        ),
-        "cells",
+    cells = data.mapInArrow(
+        _cells,
+        "trigger long, whole long, twice boolean, lo int, w1 array<long>, w2 array<long>, c1 long, c2 long, f1 long, f2 long",
     )
-    often = lambda df, *h: df.groupBy(*h).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*h)
-    full = cells.join(often(cells, "f1", "f2"), ["f1", "f2"], "left_semi")
-    border = cells.join(often(cells, "c1", "c2"), ["c1", "c2"], "left_semi").join(often(cells, "f1", "f2"), ["f1", "f2"], "left_anti")
+    cells = materialize(cells, "cells")
+    limit, place = hot_limit(cells), ["trigger", "whole", "lo"]
+    count = F.count(F.lit(1)).alias("c")
+    exact = materialize(cells.groupBy("f1", "f2").agg(count, F.min(F.struct(*place)).alias("p")), "exact-cells")
+    common = materialize(cells.groupBy("c1", "c2").agg(count).where("c > 1"), "common-bytes")
+    full = split_join(cells, exact.where("c > 1").drop("p"), ["f1", "f2"], "c", limit)
+    alone = materialize(cells.join(exact.where("c = 1").select("p.*"), place, "left_semi"), "cells-alone")
+    border = materialize(split_join(alone, common, ["c1", "c2"], "c", limit), "border-cells")
     # a window of a border cell can equal one of a cell that is repeated as a whole: those windows count once for each kind of cell
-    kinds = full.dropDuplicates(["f1", "f2"])
-    rows = lambda df: df.select("trigger", "whole", "lo", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w")).select(
-        "trigger", "whole", (F.col("lo") + F.col("k")).alias("i"), "w.w1", "w.w2"
+    kinds = materialize(cells.join(exact.where("c > 1").select("p.*"), place, "left_semi"), "kinds-of-cells")
+    open_ = materialize(border.select("c1", "c2", "c").distinct(), "open-cells")
+    rows = lambda df: df.select("trigger", "whole", "twice", "lo", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w")).select(
+        "trigger", "whole", "twice", (F.col("lo") + F.col("k")).alias("i"), "w.w1", "w.w2"
     )
-    open_ = border.select("c1", "c2").distinct()
     windows = materialize(rows(border), "border-windows")
-    others = rows(kinds.join(open_, ["c1", "c2"], "left_semi")).select("w1", "w2")
-    again = often(windows.select("w1", "w2").unionByName(others), "w1", "w2")
-    found = windows.join(again, ["w1", "w2"], "left_semi").select("trigger", "whole", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
-    whole = full.select("trigger", "whole", "lo", (F.col("lo") + F.size("w1")).alias("hi"))
+    others = rows(split_join(kinds, open_, ["c1", "c2"], "c", limit)).select("w1", "w2")
+    again = windows.select("w1", "w2").unionByName(others).groupBy("w1", "w2").agg(count).where("c > 1")
+    found = split_join(windows.where("not twice"), materialize(again, "equal-windows"), ["w1", "w2"], "c", limit)
+    found = found.select("trigger", "whole", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
+    whole = full.where("not twice").select("trigger", "whole", "lo", (F.col("lo") + F.size("w1")).alias("hi"))
     both = found.unionByName(whole).groupBy("trigger", "whole").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("x"))
     return both.select("trigger", "whole", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
 
@@ -318,23 +324,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     # Phrases of a trigger with several, with c, their number; their places in texts.
     several = with_counts(dictionary, "trigger", hot_limit(dictionary))
-    places = several.select("key", F.struct("trigger", "whole", "c", *[_field(*x) for x in (AT, RUN, FIRST)]).alias("p"))
+    places = several.select("key", F.struct("trigger", "whole", "c", (F.col("n") > 1).alias("twice"), *[_field(*x) for x in (AT, RUN, FIRST)]).alias("p"))
     places = materialize(places.groupBy("key").agg(F.collect_list("p").alias("places"), F.count(F.lit(1)).alias("many")), "places")
     held = one.join(sized(places, "many", 64).drop("many"), "key").select("text", "places")
     data = materialize(held.mapInArrow(_bytes_of, _DATA), "phrase-bytes")
 
-    columns = ("trigger", "whole", "at", "run", "bytes")
+    columns = ("trigger", "whole", "twice", "at", "run", "bytes")
     small = data.where(F.col("c") <= GROUP).select(*columns).repartition("trigger").sortWithinPartitions("trigger", "whole")
     ranges = small.mapInArrow(_ordered, "trigger long, whole long, lo array<int>, hi array<int>")
     large = data.where(F.col("c") > GROUP)
     if not large.isEmpty():
-        large = large.dropDuplicates(["trigger", "whole"]).select("trigger", "whole", "at", "bytes")
+        large = large.dropDuplicates(["trigger", "whole"]).select("trigger", "whole", "twice", "at", "bytes")
         ranges = ranges.unionByName(_hot_ranges(large))
     found = materialize(ranges.where(F.size("lo") > 0), "ranges")
 
     twice = dictionary.where("n > 1")
     full = twice.select("trigger", "whole", "rows", F.lit(None).cast("array<int>").alias("lo"), F.lit(None).cast("array<int>").alias("hi"))
-    part = found.join(twice, ["trigger", "whole"], "left_anti").select("trigger", "whole", F.lit(1).cast("long").alias("rows"), "lo", "hi")
+    part = found.select("trigger", "whole", F.lit(1).cast("long").alias("rows"), "lo", "hi")
     side = materialize(full.unionByName(part), "repeated")
     marked = split_join(parse_, side, ["trigger", "whole"], "rows", limit)
     marked = marked.select("key", *[_field(*x) for x in _FIELDS], "lo", "hi")
