@@ -1,37 +1,36 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 A document's set is its distinct five-word shingles. One hash of the shingles gives
-everything: its values are dealt to ``STRATA`` strata by their low bits, and the
-smallest of each stratum is retained (a bottom-k sketch, one value a stratum; an
-empty stratum borrows from the next one that isn't). Two sets agree in a stratum
-with a chance that is their similarity.
+everything: its ``K`` smallest values are retained (all of a smaller set).
 
 1. Documents with equal sets are one node (128-bit digest of the sorted set).
-2. Inverted lists: each list is keyed by four retained values together. Keys of one
-   value would put every document with a common passage in one list; with four, a
-   pair at similarity 0.85 still meets in one of 24 lists but for a chance of 2e-7
-   (at the stage's 0.8, by 24 independent lists: (1 - 0.8**4)**24 = 3e-6).
+2. Inverted lists of retained values. Two sets that are similar enough share at least
+   ``least_overlap`` of their retained values, so, with the values in order of rarity,
+   a document's first ``K - least_overlap + 1`` suffice to meet every partner (sets of
+   at most ``K`` shingles: exactly; larger ones but for a chance of 5e-6 for a pair at
+   the threshold). Values that a document alone has use up this prefix, so a passage
+   that many documents share is no list of those whose other text is their own.
 3. A short list gives all its pairs. A long list gives each member paired with the
    list's hub, the member whose own lists are longest; so a group of thousands of
    copies costs its size, not its square.
-4. Sketches of the pairs estimate the similarity on their union; pairs far below the
-   threshold go (sets of 200 or more: ``DEVIATIONS`` standard deviations).
+4. The ``K`` smallest values of a pair's union, found from the two sketches, estimate
+   its similarity: their share that both have. Pairs far below the threshold go.
 5. The others are compared exactly, on their full sets of shingles from the texts.
 6. Where a long list is left with more than one component, its members are joined
    again by an exact prefix filter: a document's shingles in order of rarity among
-   these documents, of which the first 15 % and one suffice to meet every partner,
-   with a bound on the overlap by position. Shingles that a document alone has use
-   up its prefix, so documents that differ too much from all others drop out
-   without a pair. Pairs of one component are not tried again.
+   these documents, with a bound on the overlap by position. Pairs of one component
+   are not tried again.
 7. Components of the links; the smallest doc_id names a component.
 
-Sketches (about 600 bytes a document) and texts of candidates are shuffled; nothing
-is collected but counts. Rows of a hot key (a list, a shingle or a hub that may hold a
-third of all rows) never meet in one task: ``matchloom/llm/skew.py``.
+Sketches (about 520 bytes a document) and texts of candidates are shuffled; nothing
+is collected but counts. Rows of a hot key (a value, a shingle, a hub or a set that may
+have a third of all rows) never meet in one task: ``matchloom/llm/skew.py``.
 
-Defined results: null and wordless texts have an empty set and stand alone; a null
-doc_id stands alone, with a null component, and is kept; rows that share a doc_id
-are one document; nulls and extra columns elsewhere do not matter.
+Defined results: null and wordless texts have an empty set and stand alone; very long
+texts are read whole; a null doc_id stands alone, with a null component, and is kept;
+rows that share a doc_id (of any type) are one document, linked through each of its
+texts, so repeated rows change nothing; of ties the smallest doc_id stays; other
+columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,25 +39,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
 from matchloom.llm.components import components
-from matchloom.llm.skew import deal_join, hot_join, hot_limit, with_counts
+from matchloom.llm.skew import deal_join, hot_join, hot_limit, split_join, with_counts
 from matchloom.llm.spans import sized
-from matchloom.session import materialize
+from matchloom.session import discard, materialize
 
 SHINGLE, PERCENT = 5, 85
 #: The stage of the pipeline links from this similarity on; ``PERCENT`` is the contract of the query.
 STAGE_PERCENT = 80
-BANDS, ROWS = 24, 4
-STRATA = BANDS * ROWS
-SHORT_LIST = 8
-#: A pair of large sets is dropped unseen if so many standard deviations fewer strata agree than at the threshold.
-DEVIATIONS, LARGE_SET = 4.67, 200
+K, SHORT_LIST = 64, 8
+#: So many standard deviations fewer than at the threshold may be shared of ``K`` values.
+DEVIATIONS = 5
+_NONE = np.int64(2**63 - 1)
 
-_SIGNATURE = "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"
+
+def least_overlap(percent: int) -> int:
+    """Of the ``K`` smallest values of a union of large sets, those that a pair at the threshold shares at least (40 at 85, 35 at 80)."""
+    p = percent / 100
+    return int(p * K - DEVIATIONS * (p * (1 - p) * K) ** 0.5)
+
+
+def prefix_length(n: Column, percent: int) -> Column:
+    """How many of its retained values, rarest first, a set of ``n`` shingles has to be listed under."""
+    most = F.floor(100 * n / percent)  # shingles of a partner, of which it retains K
+    shared = F.ceil(percent * n / 100) - F.greatest(most - K, F.lit(0))
+    return F.when(n <= K, n - shared + 1).otherwise(K - least_overlap(percent) + 1).cast("int")
 
 
 def set_digest(u: np.ndarray) -> bytes:
@@ -70,56 +79,26 @@ def set_digest(u: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def retained(u: np.ndarray) -> np.ndarray:
-    """The smallest value of each stratum of a sorted set of hashes."""
-    stratum = (u % np.uint64(STRATA)).astype(int)
-    least = np.zeros(STRATA, "u8")
-    there = np.zeros(STRATA, bool)
-    least[stratum[::-1]] = u[::-1]
-    there[stratum] = True
-    full = np.flatnonzero(there)
-    if len(full) < STRATA:
-        nearest = full[np.searchsorted(full, np.arange(STRATA)) % len(full)]
-        least = least[nearest]
-    return least
-
-
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS)
-    key = np.zeros(BANDS, "u8")
-    for k in range(ROWS):
-        key += tx.mix(rows[:, k] + np.uint64(k)) * tx._STEP[k]
-    return tx.mix(key + np.arange(BANDS, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8")
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
         for i, j, data, at in tx.pieces(batch.column(1)):
             start, length, first = tx.words(data, at)
             h = tx.word_hashes(data, start, length)
-            n, digest, sketch, bands = [], [], [], []
+            n, digest, sketch = [], [], []
             for r in range(j - i):
-                s = tx.shingle_hashes(h[first[r] : first[r + 1]], SHINGLE)
-                s = np.sort(s)
+                s = np.sort(tx.shingle_hashes(h[first[r] : first[r + 1]], SHINGLE) >> np.uint64(1))
                 u = s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
                 n.append(len(u))
                 digest.append(set_digest(u))
-                if len(u):
-                    least = retained(u)
-                    sketch.append((least >> np.uint64(32)).astype("u4").tobytes())
-                    bands.append(band_keys(least))
-                else:
-                    sketch.append(b"")
-                    bands.append(np.zeros(0, "i8"))
+                sketch.append(u[:K].view("i8"))
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bands]))), pa.int32()),
-                pa.array(np.concatenate(bands), pa.int64()),
+                pa.array(np.concatenate(([0], np.cumsum([len(b) for b in sketch]))), pa.int32()), pa.array(np.concatenate(sketch), pa.int64())
             )
+            own = [batch.column(k).slice(i, j - i) for k in (0, 2)]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), lists],
-                names=["doc_id", "n_shingles", "digest", "sketch", "bands"],
+                [*own, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], names=["doc_id", "text_hash", "n_shingles", "digest", "sketch"]
             )
+    tx.release()
 
 
 def shingle_set(text: str) -> set[bytes]:
@@ -143,45 +122,67 @@ def _verified(percent: int):
                 both = len(x & y)
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tx.release()
 
     return verify
 
 
-def least_estimate(percent: int) -> float:
-    """Share of agreeing strata below which a pair of large sets is dropped (0.68 at 85, 0.61 at 80)."""
-    p = percent / 100
-    return p - DEVIATIONS * (p * (1 - p) / STRATA) ** 0.5
+def union_estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values that both have, values) among the ``K`` smallest of each union of two sketches.
+
+    Rows of ``x`` and ``y`` are sketches, filled up with ``_NONE``.
+    """
+    both = np.sort(np.concatenate((x, y), axis=1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = both[:, 1:] == both[:, :-1]
+    rank = np.cumsum(~again, axis=1)
+    there = (both != _NONE) & (rank <= K)
+    return (again & there).sum(axis=1), (~again & there).sum(axis=1)
+
+
+def _filled(column: pa.Array) -> np.ndarray:
+    """Lists of numbers as rows of ``K``."""
+    size = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), K), _NONE)
+    out[np.arange(K) < size[:, None]] = column.flatten().to_numpy()
+    return out
 
 
 def _estimate(percent: int):
-    """Pairs whose sketches agree enough, or whose sets are too small to tell."""
+    """Of pairs (a, b, na, nb, sketches) those that can be similar enough by the estimate on their union."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "u4").reshape(n, STRATA) for k in (4, 5))
-            small = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) < LARGE_SET
-            near = (x == y).mean(axis=1) >= least_estimate(percent)
-            yield batch.select([0, 1]).filter(pa.array(small | near))
+            shared, total = union_estimate(_filled(batch.column(4)), _filled(batch.column(5)))
+            small = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) <= K  # known exactly
+            near = np.where(small, 100 * shared >= percent * total, shared >= least_overlap(percent))
+            yield batch.select([0, 1]).filter(pa.array(near))
+        tx.release()
 
     return estimate
 
 
-def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def node_texts(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of the nodes in ``wanted`` (id), from the row that stands for each."""
+    place = materialize(nodes.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), "wanted")
+    # Texts are picked where they are read, if the ids are few enough to broadcast.
+    rows = docs.select("doc_id", "text").join(sized(place), (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h")))
+    return rows.groupBy("id").agg(F.min("text").alias("text"))
+
+
+def exact_links(pairs: DataFrame, sketches: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of candidate ``pairs`` (a, b) those whose full sets are similar enough."""
-    by = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    by = lambda k: sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     known = deal_join(deal_join(pairs, by("a"), "a", "b"), by("b"), "b", "a", counted=pairs)
     known = known.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     likely = materialize(
         known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate(percent), "a long, b long"), "likely"
     )
-    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Texts are picked where they are read, if the ids are few enough to broadcast.
-    one = docs.select("doc_id", "text").join(sized(ends), "doc_id", "left_semi")
-    text = materialize(one.groupBy("doc_id").agg(F.min("text").alias("text")), "candidate-texts")
-    of = lambda k: text.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    text = materialize(node_texts(docs, ends, nodes), "candidate-texts")
+    of = lambda k: text.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
     both = deal_join(deal_join(likely, of("a"), "a", "b"), of("b"), "b", "a", counted=likely)
     return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long")
 
@@ -198,13 +199,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids[i:j], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view("i8"))], names=["id", "n", "e"]
             )
+    tx.release()
 
 
-def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``members`` (id, component) of different components that can be similar enough."""
-    texts = docs.select("doc_id", "text").join(sized(members.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = materialize(one.mapInArrow(_shingles, "id long, n long, e long"), "member-shingles")
+    rows = materialize(node_texts(docs, members.select("id"), nodes).mapInArrow(_shingles, "id long, n long, e long"), "member-shingles")
     limit = hot_limit(rows)
     known = with_counts(rows, "e", limit)
     order = Window.partitionBy("id").orderBy("c", "e")
@@ -223,20 +223,22 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame
     return pairs.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
-    sig = materialize(docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNATURE), "signatures")
-    known = sig.where("n_shingles > 0 and doc_id is not null")
-    copies = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    ids = materialize(copies, "nodes")
-    nodes = known.join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    nodes = nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands")
-
-    lists = materialize(nodes.select("id", F.explode("bands").alias("key")), "lists")
+def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """(key, id, c) of every node under the retained values of its prefix that c >= 2 nodes have there; rows beyond which a key is hot."""
+    values = materialize(sketches.select("id", "n", F.explode("sketch").alias("e")), "retained")
+    shared = with_counts(values, "e", hot_limit(values))
+    own = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("x"))  # K values at most
+    rare = F.greatest(prefix_length(F.col("n"), percent) - (F.least(F.col("n"), F.lit(K)) - F.size("x")), F.lit(0)).cast("int")
+    lists = materialize(own.select("id", F.explode(F.slice("x", F.lit(1), rare)).alias("v")).select("id", F.col("v.e").alias("key")), "lists")
     limit = hot_limit(lists)
-    shared = materialize(with_counts(lists, "key", limit), "shared-lists")
-    plain = nodes.select("id", "n", "sketch")
+    out = materialize(with_counts(lists, "key", limit), "shared-lists")
+    discard(values, lists)
+    return out, limit
 
+
+def node_links(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between nodes that connect all that are similar enough."""
+    shared, limit = candidate_lists(sketches, percent)
     small = shared.where(F.col("c") <= SHORT_LIST).select("key", "id")
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a > b")
     weight = shared.groupBy("id").agg(F.sum("c").alias("w"))
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hubs = materialize(heads.select("key", "c", "h.hub"), "hubs")
     stars = hot_join(long_, hubs, "key", limit).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
     first = materialize(pairs.select("a", "b").unionByName(stars).distinct(), "candidates")
-    links = materialize(exact_links(first, plain, docs, percent), "links")
+    links = materialize(exact_links(first, sketches, nodes, docs, percent), "links")
     found = materialize(components(links, "first"), "components")
 
     # Long lists whose members are not all of one component: the pairs across components.
@@ -257,18 +259,44 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     both = hot_join(labelled, materialize(mixed, "mixed-lists"), "key", limit, "left_semi")
     rest = materialize(both.select("id", "component").distinct(), "rest")
     if not rest.isEmpty():
-        across = prefix_pairs(docs, rest, percent)
-        tried = materialize(across.join(first, ["a", "b"], "left_anti"), "more-candidates")
-        more = materialize(exact_links(tried, plain, docs, percent), "more-links")
-        if not more.isEmpty():
-            found = materialize(components(links.unionByName(more), "all"), "all-components")
-
-    label = ids.join(found, F.col("node") == F.col("id"), "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    rows = sig.select("doc_id", "n_shingles", "digest")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.join(label, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")
+        tried = materialize(prefix_pairs(docs, rest, nodes, percent).join(first, ["a", "b"], "left_anti"), "more-candidates")
+        links = materialize(links.unionByName(exact_links(tried, sketches, nodes, docs, percent)), "all-links")
+    discard(shared, hubs, first, labelled)
+    return links
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sig = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _signatures, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, sketch array<long>"
     )
+    sig = materialize(sig, "signatures")
+    known = sig.where("n_shingles > 0 and doc_id is not null")
+    sets = known.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.count(F.lit(1)).alias("c"))
+    nodes = materialize(sets.select("digest", "c", "r.*", F.monotonically_increasing_id().alias("id")), "nodes")
+    place = nodes.select("id", "digest", "doc_id", "text_hash")
+    sketches = known.join(place, ["digest", "doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sketch")
+    sketches = materialize(sketches, "sketches")
+    edges = node_links(docs, nodes, sketches, percent)
+
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    several = materialize(several, "several-texts")
+    if not several.isEmpty():  # a document with several texts links them
+        own = known.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct()
+        own = own.withColumnRenamed("doc_id", "d").join(nodes.select("digest", "id"), "digest")
+        hub = own.groupBy("d").agg(F.min("id").alias("b"))
+        edges = edges.unionByName(own.join(hub, "d").where("id <> b").select(F.col("id").alias("a"), "b"))
+    found = materialize(components(edges, "all"), "components")
+
+    labelled = nodes.join(found, "id", "left").select("digest", "c", "doc_id", F.coalesce("component", "id").alias("component"))
+    labelled = materialize(labelled, "labels")
+    names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    side = materialize(split_join(labelled, materialize(names, "names"), "component", "k", hot_limit(labelled)).select("digest", "c", "component_id"), "side")
+    rows = known.select("doc_id", "n_shingles", "digest")
+    alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = split_join(rows, side, "digest", "c", hot_limit(sig)).select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(alone)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,5 +308,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one whose doc_id names the component."""
     found = near_duplicates(docs.select("doc_id", "text"), STAGE_PERCENT)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(sized(gone), "doc_id", "left_anti")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(sized(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")

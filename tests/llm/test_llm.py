@@ -219,7 +219,7 @@ def test_mixing(docs, none):
 def test_pivotal_keeps_words_and_expectations():
     rng = np.random.default_rng(1)
     size, p = rng.integers(1, 50, 40).astype(float), rng.random(40)
-    ends = np.array([mixing.settle(size, p, rng.random(40), False) for _ in range(4000)])
+    ends = np.array([mixing.settle(size, p, rng.random(40)) for _ in range(4000)])
     assert ((ends > 0) & (ends < 1)).sum(axis=1).max() <= 1
     assert np.allclose(ends @ size, p @ size)
     assert np.abs(ends.mean(axis=0) - p).max() < 0.05
@@ -371,7 +371,7 @@ def test_log_frequency_filter():
     counts = np.arange(1, 5001)
     size = int(language_model.level(counts, 1).sum()) * language_model.BITS_PER_ENTRY // 8
     data = language_model.LogFrequencyFilter.segment(size, [(1, language_model.pack(keys >> np.uint64(1), counts))])
-    f = language_model.LogFrequencyFilter(1, size, np.frombuffer(data * 2, "u1"))
+    f = language_model.LogFrequencyFilter(1, size, int(language_model.level(counts, 1).max()), np.frombuffer(data * 2, "u1"))
     levels = f.levels(keys >> np.uint64(1), 1)
     true = language_model.level(counts, 1)
     assert (levels >= true).all() and (levels == true).mean() > 0.9
