@@ -8,10 +8,12 @@ corpus, and no key is hot.
 
 Counts are quantised to levels, ``1 + floor(log2(count / least count))``, and an
 n-gram is put into the filter once for each of its levels. A query probes level 1,
-2, ... until one is missing; the last one found gives the count. Words are stored
-from count 1, pairs from count 2 on (a pair seen once tells less than its words).
-Every bucket fills its own segment of the filter; the filter has ``BITS_PER_ENTRY``
-bits for each entry, however many there are. Up to ``MAX_FILTER_BYTES`` it is collected
+2, ... up to the highest one trained, until one is missing; the last one found gives the
+count. Words are stored from count 1, pairs from count 2 on (a pair seen once tells less
+than its words). Every bucket fills its own segment of the filter; the number of buckets
+follows the bytes of the corpus alone (``BUCKET_BYTES`` for each), and the filter has
+``BITS_PER_ENTRY`` bits for each entry, however many there are. So the bits, and with
+them the scores, hang on the corpus and on no setting of the session. Up to ``MAX_FILTER_BYTES`` it is collected
 and broadcast. A larger one stays in its segments in the shared folder: chunks of
 documents send their distinct n-grams to the buckets, and the levels come back to the
 chunks. Both ways read the same bits and give the same scores.
@@ -24,8 +26,10 @@ ones (at most ``FREQUENT`` of them) are broadcast as a table; a document's other
 words are joined to the counts by a shuffle. Both paths are exact, together they
 cover every word.
 
-Defined results: a null or empty text is one end token; a null doc_id counts as
-held out; repeated rows are scored alike; an empty table gives no rows.
+Defined results: a null or empty text is one end token; a null doc_id (of any type)
+counts as held out; very long texts are whole; n-grams with equal counts (ties) have
+equal levels; repeated rows are scored alike; other columns are not read, whatever their
+names; an empty table gives no rows, and a model of no documents knows no token.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from matchloom.llm import text as tx
 from matchloom.session import materialize
@@ -48,6 +53,8 @@ ADD, MU = 0.1, 8.0
 FREQUENT = 1 << 19
 BITS_PER_ENTRY, PROBES, MAX_FILTER_BYTES = 10, 4, 64 << 20
 LEAST_COUNT = {1: 1, 2: 2}
+#: Bytes of text whose n-grams one bucket takes, and the bits of a bucket's number at most (the pairs' keys have 24 to spare).
+BUCKET_BYTES, MOST_BUCKET_BITS = 8 << 20, 22
 FLUSH = 1 << 21
 #: Tokens of the documents that are scored together, and bytes of n-grams in one task, where the filter is stored.
 CHUNK, LOOKED_UP_BYTES = 1 << 20, 64 << 20
@@ -129,6 +136,7 @@ def _count(bucket_bits: int):
         if n:
             for kind in (1, 2):
                 yield flush(kind, held[kind])
+        tx.release()
 
     return count
 
@@ -140,12 +148,13 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     keys, counts = add_up(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
     enough = counts >= LEAST_COUNT[kind]
     keys, counts = keys[enough], counts[enough]
-    levels = int(level(counts, kind).sum())
+    levels = level(counts, kind)
     return pa.table(
         {
             "kind": pa.array([kind], pa.int32()),
             "bucket": pa.array([key[1].as_py()], pa.int32()),
-            "entries": pa.array([levels], pa.int64()),
+            "entries": pa.array([int(levels.sum())], pa.int64()),
+            "top": pa.array([int(levels.max(initial=0))], pa.int32()),
             "blob": pa.array([pack(keys, counts)], pa.binary()),
         }
     )
@@ -169,10 +178,10 @@ def _probe_bits(keys: np.ndarray, j: int, kind: int, bits: int) -> Iterator[np.n
 
 
 class LogFrequencyFilter:
-    """Segments of equal size, one for each bucket of each kind's keys, from bucket ``first`` on."""
+    """Segments of equal size, one for each bucket of each kind's keys, from bucket ``first`` on; ``top``: the highest level in it."""
 
-    def __init__(self, bucket_bits: int, segment_bytes: int, data: np.ndarray, first: int = 0) -> None:
-        self.bucket_bits, self.segment_bytes, self.data, self.first = bucket_bits, segment_bytes, data, first
+    def __init__(self, bucket_bits: int, segment_bytes: int, top: int, data: np.ndarray, first: int = 0) -> None:
+        self.bucket_bits, self.segment_bytes, self.top, self.data, self.first = bucket_bits, segment_bytes, top, data, first
 
     @staticmethod
     def segment(segment_bytes: int, parts: list[tuple[int, bytes]]) -> bytes:
@@ -192,7 +201,7 @@ class LogFrequencyFilter:
         if kind == 2:
             own = own >> np.uint64(24 - self.bucket_bits)
         out, active, j = np.zeros(len(keys), "i8"), np.arange(len(keys)), 1
-        while len(active):
+        while len(active) and j <= self.top:
             there = np.ones(len(active), bool)
             for at in _probe_bits(own[active], j, kind, self.segment_bytes * 8):
                 byte = self.data[bucket[active] + (at >> np.uint64(3)).astype("i8")]
@@ -208,6 +217,7 @@ class StoredFilter(NamedTuple):
 
     bucket_bits: int
     segment_bytes: int
+    top: int
     frame: DataFrame
 
 
@@ -219,13 +229,13 @@ def train(docs: DataFrame, text: str = "text", bucket_bits: int | None = None):
     """(filter, N, V, counts of words as DataFrame (key, c), frequent keys, their counts) of all of ``docs``."""
     spark = docs.sparkSession
     if bucket_bits is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        bucket_bits = max(6, min(16, (partitions - 1).bit_length()))
+        size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+        bucket_bits = max(6, min(MOST_BUCKET_BITS, (size // BUCKET_BYTES).bit_length()))
     sent = docs.select(text).mapInArrow(_count(bucket_bits), "kind int, bucket int, blob binary")
     merged = materialize(
-        sent.groupBy("kind", "bucket").applyInArrow(_merge, "kind int, bucket int, entries long, blob binary"), "ngrams"
+        sent.groupBy("kind", "bucket").applyInArrow(_merge, "kind int, bucket int, entries long, top int, blob binary"), "ngrams"
     )
-    entries = merged.agg(F.sum("entries")).first()[0] or 0
+    entries, top_level = (x or 0 for x in merged.agg(F.sum("entries"), F.max("top")).first())
     segment_bytes = max(64, entries * BITS_PER_ENTRY // 8 >> bucket_bits)
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
@@ -234,12 +244,12 @@ def train(docs: DataFrame, text: str = "text", bucket_bits: int | None = None):
 
     segments = merged.select("kind", "bucket", "blob").groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
     if segment_bytes << bucket_bits > MAX_FILTER_BYTES:
-        model = StoredFilter(bucket_bits, segment_bytes, materialize(segments, "filter"))
+        model = StoredFilter(bucket_bits, segment_bytes, top_level, materialize(segments, "filter"))
     else:
         data = np.zeros(segment_bytes << bucket_bits, "u1")
         for r in segments.toLocalIterator():
             data[r[0] * segment_bytes : (r[0] + 1) * segment_bytes] = np.frombuffer(r[1], "u1")
-        model = LogFrequencyFilter(bucket_bits, segment_bytes, data)
+        model = LogFrequencyFilter(bucket_bits, segment_bytes, top_level, data)
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +306,7 @@ def _rows(ids: np.ndarray, doc_ids: pa.Array, n_tokens: np.ndarray, word: np.nda
         z = np.zeros(len(code))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids[code // len(word)]), pa.array(np.ones(len(code), "i4")), pa.nulls(len(code), pa.int64()),
+                pa.array(ids[code // len(word)]), pa.array(np.ones(len(code), "i4")), pa.nulls(len(code), doc_ids.type),
                 pa.array(z.astype("i8")), pa.array(z.astype("i8")), pa.array(z), pa.array(z),
                 pa.array(word[code % len(word)].view("i8")), pa.array(times.astype("i8")),
             ],
@@ -308,8 +318,8 @@ def _score(shared, n: int, v: int):
     """Rows of documents and of their rare words, by the filter that was broadcast."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket_bits, segment_bytes, bits, *top = shared.value
-        model = LogFrequencyFilter(bucket_bits, segment_bytes, bits)
+        bucket_bits, segment_bytes, top_level, bits, *top = shared.value
+        model = LogFrequencyFilter(bucket_bits, segment_bytes, top_level, bits)
         row = np.int64(TaskContext.get().partitionId()) << np.int64(36)
         for batch in batches:
             for i, j, data, at in tx.pieces(batch.column(1)):
@@ -319,7 +329,8 @@ def _score(shared, n: int, v: int):
                 c1, c2 = value(model.levels(word, 1), 1), value(model.levels(pair, 2), 2)[pair_back]
                 ids = row + np.arange(j - i)
                 row += j - i
-                yield from _rows(ids, batch.column(0).slice(i, j - i).cast(pa.int64()), np.diff(first), word, back, c1, c2, top, n, v)
+                yield from _rows(ids, batch.column(0).slice(i, j - i), np.diff(first), word, back, c1, c2, top, n, v)
+        tx.release()
 
     return score
 
@@ -333,9 +344,9 @@ def _probes(bucket_bits: int):
     def flush(chunk: int, ids: list[pa.Array], sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
         t, doc_ids = np.concatenate(parts), pa.concat_arrays(ids)
         word, back = np.unique(t, return_inverse=True)
-        there = doc_ids.is_valid().to_numpy(zero_copy_only=False)
-        held = [np.array([len(doc_ids), len(word)]), doc_ids.fill_null(0).to_numpy(), np.concatenate(sizes), word.view("i8"), back.astype("i4"), there]
-        rows = [(0, 0, b"".join(x.tobytes() for x in held))]
+        held = [np.array([len(doc_ids), len(word)]), np.concatenate(sizes), word.view("i8"), back.astype("i4")]
+        names = pa.RecordBatch.from_arrays([doc_ids], names=["doc_id"]).serialize().to_pybytes()
+        rows = [(0, 0, b"".join([*(x.tobytes() for x in held), names]))]
         for kind, keys in ((1, word), (2, np.unique(pairs(t)))):
             cut = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype="u8") << np.uint64(64 - bucket_bits))
             cut = np.append(cut, len(keys))
@@ -353,7 +364,7 @@ def _probes(bucket_bits: int):
         for batch in batches:
             for i, j, data, at in tx.pieces(batch.column(1)):
                 t, first = tokens(data, at)
-                for part, x in zip(held, (batch.column(0).slice(i, j - i).cast(pa.int64()), np.diff(first), t), strict=True):
+                for part, x in zip(held, (batch.column(0).slice(i, j - i), np.diff(first), t), strict=True):
                     part.append(x)
                 row += j - i
                 n += len(t)
@@ -362,16 +373,17 @@ def _probes(bucket_bits: int):
                     held, chunk, n = ([], [], []), row, 0
         if n:
             yield flush(chunk, *held)
+        tx.release()
 
     return probe
 
 
-def _look_up(bucket_bits: int, segment_bytes: int):
+def _look_up(bucket_bits: int, segment_bytes: int, top: int):
     """The levels, a byte each, of the n-grams sent to one bucket."""
 
     def look(key: tuple, probes: pa.Table, segment: pa.Table) -> pa.Table:
         bits = segment.column("bits")[0].as_buffer() if segment.num_rows else bytes(segment_bytes)
-        model = LogFrequencyFilter(bucket_bits, segment_bytes, np.frombuffer(bits, "u1"), key[0].as_py())
+        model = LogFrequencyFilter(bucket_bits, segment_bytes, top, np.frombuffer(bits, "u1"), key[0].as_py())
         found = [
             model.levels(np.frombuffer(b.as_buffer(), "u8"), k.as_py()).astype("u1").tobytes()
             for k, b in zip(probes.column("kind"), probes.column("blob"), strict=True)
@@ -381,7 +393,7 @@ def _look_up(bucket_bits: int, segment_bytes: int):
     return look
 
 
-def _score_chunk(shared, n: int, v: int):
+def _score_chunk(shared, kind: pa.DataType, n: int, v: int):
     """Rows of one chunk's documents and of their rare words, from the levels that came back."""
 
     def score(key: tuple, table: pa.Table) -> pa.Table:
@@ -390,15 +402,15 @@ def _score_chunk(shared, n: int, v: int):
         for k, b in zip(table.column("kind"), table.column("blob"), strict=True):
             blobs[k.as_py()].append(b.as_buffer())
         m, w = np.frombuffer(blobs[0][0], "i8", 2).tolist()
-        numbers = np.frombuffer(blobs[0][0], "i8", 2 * m + w, 16)
-        doc_ids, n_tokens, word = numbers[:m], numbers[m : 2 * m], numbers[2 * m :].view("u8")
+        numbers = np.frombuffer(blobs[0][0], "i8", m + w, 16)
+        n_tokens, word = numbers[:m], numbers[m:].view("u8")
         at = 16 + 8 * len(numbers)
         back = np.frombuffer(blobs[0][0], "i4", int(n_tokens.sum()), at).astype("i8")
-        there = np.frombuffer(blobs[0][0], bool, m, at + 4 * len(back))
+        doc_ids = pa.ipc.read_record_batch(pa.py_buffer(bytes(blobs[0][0][at + 4 * len(back) :])), pa.schema([("doc_id", kind)])).column(0)
         one, two = (np.frombuffer(b"".join(blobs[k]), "u1").astype("i8") for k in (1, 2))
         pair_back = np.unique(pairs(word[back]), return_inverse=True)[1]
         ids = key[0].as_py() + np.arange(m)
-        made = _rows(ids, pa.array(doc_ids, mask=~there), n_tokens, word, back, value(one, 1), value(two, 2)[pair_back], shared.value, n, v)
+        made = _rows(ids, doc_ids, n_tokens, word, back, value(one, 1), value(two, 2)[pair_back], shared.value, n, v)
         return pa.Table.from_batches(list(made))
 
     return score
@@ -415,13 +427,19 @@ def _by_segments(docs: DataFrame, model: StoredFilter, shared, n: int, v: int) -
     segments = model.frame.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
     found = dealt.groupBy("bucket", "part").cogroup(segments.groupBy("bucket", "part")).applyInArrow(
-        _look_up(model.bucket_bits, model.segment_bytes), schema
+        _look_up(model.bucket_bits, model.segment_bytes, model.top), schema
+    )
+    return sent.where("kind = 0").unionByName(found).groupBy("chunk").applyInArrow(
+        _score_chunk(shared, to_arrow_type(docs.schema["doc_id"].dataType), n, v), _row_schema(docs)
     )
-    return sent.where("kind = 0").unionByName(found).groupBy("chunk").applyInArrow(_score_chunk(shared, n, v), _ROW_SCHEMA)
 
 
 _ROW = ["row", "kind", "doc_id", "n_tokens", "n_known", "base", "score", "key", "times"]
-_ROW_SCHEMA = "row long, kind int, doc_id long, n_tokens long, n_known long, base double, score double, key long, times long"
+
+
+def _row_schema(docs: DataFrame) -> str:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return f"row long, kind int, doc_id {kind}, n_tokens long, n_known long, base double, score double, key long, times long"
 
 
 def score_documents(docs: DataFrame, trained) -> DataFrame:
@@ -431,8 +449,8 @@ def score_documents(docs: DataFrame, trained) -> DataFrame:
     if isinstance(model, StoredFilter):
         rows = _by_segments(docs.select("doc_id", "text"), model, context.broadcast((top, top_counts)), n, v)
     else:
-        shared = context.broadcast((model.bucket_bits, model.segment_bytes, model.data, top, top_counts))
-        rows = docs.select("doc_id", "text").mapInArrow(_score(shared, n, v), _ROW_SCHEMA)
+        shared = context.broadcast((model.bucket_bits, model.segment_bytes, model.top, model.data, top, top_counts))
+        rows = docs.select("doc_id", "text").mapInArrow(_score(shared, n, v), _row_schema(docs))
     joined = rows.join(counts, "key", "left")
     c = F.coalesce("c", F.lit(0))
     rare = F.col("kind") == 1
