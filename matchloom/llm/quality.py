@@ -5,9 +5,11 @@ projections: no shuffle, no user function, nothing sent to the driver. A documen
 is read once, whole, and needs memory for its own words only.
 
 Defined results: a null, empty or blank text has zero of everything and fails the
-base rule (fewer than ten words). Nulls in other columns do not matter. Repeated
-rows are judged each alone. Every input column is kept; the measures are put into
-one struct column whose name the caller picks, so that no name can clash.
+base rule (fewer than ten words); very long texts are measured whole. Nulls in other
+columns do not matter. Of lines that are alike (ties) the first is no repetition, of
+windows every one is; windows are compared by 64-bit hashes within one text. Repeated
+rows are judged each alone. Every input column is kept, whatever its name; the measures
+are put into one struct column, whose name has to be new. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.llm.columns import free_name, own
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -142,19 +146,20 @@ def judge_quality(
 
     ``into`` has to be a name that ``df`` doesn't have.
     """
-    own = [F.col(f"`{c}`") for c in df.columns]
+    kept = own(df)
+    words, made_ = free_name(df, "words"), free_name(df, "measures")
     whole = F.coalesce(F.col(text), F.lit(""))
-    split = df.select(*own, F.filter(F.split(whole, WORD_BREAK), lambda w: w != "").alias("__words"))
-    made = F.struct(*[c.alias(k) for k, c in measures(whole, F.col("__words")).items()])
+    split = df.select(*kept, F.filter(F.split(whole, WORD_BREAK), lambda w: w != "").alias(words))
+    made = F.struct(*[c.alias(k) for k, c in measures(whole, F.col(words)).items()])
     # What hangs on a row's number (always true here) is computed once: the optimizer
     # neither copies it into each place that reads a measure nor pushes a later filter
     # on the verdict below it, where words would be split anew for every window.
-    measured = split.select(*own, F.when(F.monotonically_increasing_id() >= 0, made).alias("__m"))
-    m = F.col("__m")
+    measured = split.select(*kept, F.when(F.monotonically_increasing_id() >= 0, made).alias(made_))
+    m = F.col(made_)
     base_failed, holds = verdict(m, rules)
     fields = [m[k].alias(k) for k in measures(whole, whole)]
     return measured.select(
-        *own, F.struct(*fields, base_failed.alias("base_failed"), (~base_failed & holds).alias("kept")).alias(into)
+        *kept, F.struct(*fields, base_failed.alias("base_failed"), (~base_failed & holds).alias("kept")).alias(into)
     )
 
 
@@ -166,7 +171,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
-    return judge_quality(docs, into="__quality").where("__quality.kept").drop("__quality")
+    name = free_name(docs, "quality")
+    return judge_quality(docs, into=name).where(F.col(name)["kept"]).drop(name)
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

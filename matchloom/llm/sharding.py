@@ -14,9 +14,12 @@ Rows then need no more than their rank among the rows of their own point: one
 shuffle, by point, in pieces of rows / 2 ** cell_bits. ``cell_bits`` is chosen by
 the caller for the size of the corpus (14 serves about 10 ** 10 rows).
 
-Defined results: a null key is a key like any other (rows are told apart by the
-other key columns), a null text has size 1, repeated rows each get a slot of their
-own, an empty table gives no rows.
+Defined results: a null key of any type is a key like any other (rows are told apart by
+the other key columns), a null or empty text has size 1 and very long ones their whole
+size, rows of one hash (ties) are ordered by their key columns, repeated rows each get a
+slot of their own (rows alike in all key columns share a point), other columns are kept
+whatever their names, but those called like the two new ones are replaced by these; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm.columns import free_name, own, wrapped
+
 N_SHARDS, VNODES, CELL_BITS = 16, 64, 14
 
 
@@ -90,20 +95,16 @@ def shard_rows(
     by the whole hash and the key columns. Reruns on the same rows agree.
     """
     spark, cells = df.sparkSession, 1 << cell_bits
-    point = lambda d: d.withColumn("__h", F.xxhash64(*key)).withColumn(
-        "__cell", F.shiftrightunsigned("__h", 64 - cell_bits).cast("int")
-    )
-    counts = {r[0]: r[1] for r in point(df.select(*key)).groupBy("__cell").count().collect()}
-    plan = spark.createDataFrame(
-        place(counts, n_shards, vnodes, cells) or [(0, 0, 0, 0, 0)],
-        f"__cell int, __lo long, __hi long, `{shard}` int, __at long",
-    )
-    ranked = point(df).withColumn(
-        "__rank", F.row_number().over(Window.partitionBy("__cell").orderBy("__h", *key)) - F.lit(1)
-    )
+    hash_ = F.xxhash64(*[F.col(f"`{k}`") for k in key])
+    rows = wrapped(df, hash=hash_).withColumn("cell", F.shiftrightunsigned("hash", 64 - cell_bits).cast("int"))
+    counts = {r[0]: r[1] for r in rows.groupBy("cell").count().collect()}
+    plan = spark.createDataFrame(place(counts, n_shards, vnodes, cells) or [(0, 0, 0, 0, 0)], "cell int, lo long, hi long, into int, at long")
+    order = Window.partitionBy("cell").orderBy("hash", *[F.col(f"row.`{k}`") for k in key])
+    ranked = rows.withColumn("rank", F.row_number().over(order) - F.lit(1))
     # The plan has one row for each point and for each time a shard fills up, so its size is bounded.
-    found = ranked.join(F.broadcast(plan), "__cell").where("__rank >= __lo and __rank < __hi")
-    return found.select(*df.columns, shard, (F.col("__at") + F.col("__rank") - F.col("__lo")).alias(slot))
+    found = ranked.join(F.broadcast(plan), "cell").where("rank >= lo and rank < hi")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]
+    return found.select(*kept, F.col("into").alias(shard), (F.col("at") + F.col("rank") - F.col("lo")).alias(slot))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +122,5 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot."""
-    keyed = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return shard_rows(keyed, ["__key"]).drop("__key")
+    name = free_name(docs, "key")
+    return shard_rows(docs.withColumn(name, F.xxhash64(*own(docs))), [name]).drop(name)
