@@ -10,11 +10,15 @@ Chunks are named by 128-bit digests. For each digest the first occurrence stays
 smallest doc_id, null last, then the earliest row and place), all others are removed.
 A last chunk of less than ``LEAST`` bytes would equal others by chance: it is named
 together with the chunk before it, and a text that is one short chunk by itself. (Without
-``whole`` these short chunks are not compared; the query compares them.) Digests are counted with partial aggregation; those that
-occur once, most of them, go no further. No digest's occurrences meet in one place.
-
-Defined results: a null or empty text has no chunks; repeated rows lose all but one
-copy; null doc_ids come last; an empty table gives no rows.
+``whole`` these short chunks are not compared; the query compares them.) Digests are
+counted with partial aggregation; those that occur once, most of them, go no further.
+Occurrences of a hot digest, which may be a third of all, are met by many tasks
+(``skew.py``).
+
+Defined results: a null or empty text has no chunks; very long texts are chunked whole,
+their hashes in blocks; repeated rows lose all but one copy; of ties (equal doc_ids, of
+any type) the earlier row of the files stays, null doc_ids come last; other columns are
+not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
+from matchloom.llm.skew import hot_limit, split_join
 from matchloom.session import materialize
 
 LEAST, MOST, BITS = 64, 1024, 5
@@ -97,9 +102,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.Recor
                 row += 1
             ids = batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), n)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(rows, "i8"), n)), ids.cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
+                [pa.array(np.repeat(np.array(rows, "i8"), n)), ids, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())],
                 names=["row", "doc_id", "start", "size", "digest"],
             )
+    tx.release()
 
 
 def chunk_duplicates(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -107,13 +113,15 @@ def chunk_duplicates(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     With ``whole`` chunks of less than ``LEAST`` bytes are compared too.
     """
-    chunks = materialize(
-        docs.select("doc_id", "text").mapInArrow(lambda b: _chunks(b, whole), "row long, doc_id long, start long, size long, digest binary"), "chunks"
-    )
-    place = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("d"), "row", "start")
-    named = chunks.where("digest is not null").select("digest", "row", "start", "size", place.alias("place"))
-    shared = named.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("keep")).where("n > 1")
-    gone = named.join(shared.select("digest", "keep"), "digest").where("place <> keep").groupBy("row").agg(
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chunks = docs.select("doc_id", "text").mapInArrow(lambda b: _chunks(b, whole), f"row long, doc_id {kind}, start long, size long, digest binary")
+    chunks = materialize(chunks, "chunks")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), "row", "start")
+    named = chunks.where("digest is not null")
+    shared = named.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep")).where("n > 1")
+    shared = materialize(shared.select("digest", "n", F.col("keep.row").alias("keep_row"), F.col("keep.start").alias("keep_start")), "shared-digests")
+    met = split_join(named.select("digest", "row", "start", "size"), shared, "digest", "n", hot_limit(chunks))
+    gone = met.where("row <> keep_row or start <> keep_start").groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("x")
     )
     rows = chunks.groupBy("row").agg(
