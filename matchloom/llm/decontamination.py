@@ -1,22 +1,28 @@
 r"""Benchmark decontamination: a prefix-filtered set join with exact verification.
 
 Items are cut into windows of ``n`` consecutive words (an item of fewer words is one
-window). Within a window the words are ordered by rarity, rarest first. A document
-that holds a window holds all its words, so the necessary prefix of that order is
-one word, the window's rarest: the inverted list is keyed by it. A document word
-that equals a key gives a candidate, which the position and length bounds (the
-window has to fit between the text's ends) thin out, and an exact comparison of the
-``n`` words decides.
-
-The corpus side is one scan: words are made, generated, looked up and compared in
-one code-generated stage, and only true occurrences are shuffled. The window table
-is broadcast when its measured number of rows is at most ``BROADCAST_WINDOWS``;
-beyond that it is joined by a shuffle of its key words only.
-
-Defined results: null or wordless texts have no words, no hits and are not
-contaminated; null or wordless items are no items; repeated items count once for
-each item_id; documents that are alike in id and text get the same answer, in one
-row each; empty tables give empty or clean results.
+window). Within a window the words are ordered by rarity in the corpus, rarest first. A
+document that holds a window holds all its words, so the necessary prefix of that order
+is one word, the window's rarest: the inverted list is keyed by it. A document word that
+equals a key gives a candidate, which the position and length bounds (the window has to
+fit between the text's ends) thin out, and an exact comparison of the ``n`` words
+decides.
+
+The frequencies of the items' words come from one scan with partial aggregation. If the
+window table is small (``BROADCAST_WINDOWS`` rows and ``BROADCAST_BYTES``, both
+measured) it is broadcast: words are made, generated, looked up and compared in one
+stage, and only true occurrences are shuffled. A larger one is met in three steps. The
+words of documents, each with its place but without its text, go through a table of the
+keys' hash buckets (``BUCKETS`` numbers at most, so it can always be broadcast); those
+left are shuffled to the keys by word, hot words apart; the texts of documents with
+candidates are then read once more, whole, and compared.
+
+Defined results: null, empty or wordless texts have no words, no hits and are not
+contaminated; very long texts are compared whole; null or wordless items are no items;
+repeated items count once for each item_id; equally rare words (ties) are ordered by
+length and code points; documents that are alike in id (of any type) and text get the
+same answer, in one row each; other columns are kept by ``stage``, whatever their
+names; empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -26,11 +32,15 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.spans import sized
+from matchloom.llm.columns import wrapped
+from matchloom.llm.skew import hot_limit
+from matchloom.llm.spans import BROADCAST_BYTES, sized
 from matchloom.session import materialize
 
 N = 10
 BROADCAST_WINDOWS = 200_000
+#: Hash buckets of the keys.
+BUCKETS = 1 << 20
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -43,15 +53,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, BREAK), lambda w: w != "")
 
 
-def item_windows(items: DataFrame, n: int = N) -> DataFrame:
-    """(item_id, window, anchor, at): every window with its rarest word and where that stands.
+def item_windows(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
+    """(item_id, window, anchor, at, c): every window with its rarest word, where that stands and its occurrences in ``docs`` (words).
 
-    Rarity is the number of items with the word; of equally rare ones the longest,
-    then the first in code-point order.
+    Of equally rare words the longest, then the first in code-point order.
     """
     words = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
-    words = words.where(F.size("words") > 0)
-    df = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
+    words = materialize(words.where(F.size("words") > 0), "item-words")
+    known = materialize(words.select(F.explode("words").alias("known")).distinct(), "vocabulary")
+    word = docs.select(F.explode("words").alias("word"))
+    counted = lambda rows: rows.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    known_bytes = known.agg(F.sum(F.octet_length("known").cast("long") + 32)).first()[0] or 0
+    if known_bytes <= BROADCAST_BYTES:
+        count = counted(word.join(F.broadcast(known), F.col("word") == F.col("known"), "left_semi"))
+    else:  # counted before the shuffle, so no word is hot
+        count = counted(word).join(known, F.col("word") == F.col("known"), "left_semi")
+    count = materialize(count, "word-counts")
     windows = words.select(
         "item_id",
         F.explode(
@@ -60,25 +77,41 @@ def item_windows(items: DataFrame, n: int = N) -> DataFrame:
             )
         ).alias("window"),
     ).distinct()
-    each = windows.select("item_id", "window", F.posexplode("window").alias("at", "word")).join(df, "word")
-    rare = F.struct(F.col("count"), (-F.length("word")).alias("l"), F.col("word").alias("anchor"), "at")
-    return each.groupBy("item_id", "window").agg(F.min(rare).alias("r")).select("item_id", "window", "r.anchor", "r.at")
+    each = windows.select("item_id", "window", F.posexplode("window").alias("at", "word")).join(sized(count), "word", "left")
+    rare = F.struct(F.coalesce("c", F.lit(0)).alias("c"), (-F.length("word")).alias("l"), F.col("word").alias("anchor"), "at")
+    found = each.groupBy("item_id", "window").agg(F.min(rare).alias("r")).where("r.c > 0")  # the corpus has no such word: no occurrence
+    return materialize(found.select("item_id", "window", "r.anchor", "r.at", "r.c"), "windows")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:
     """(key, item_id, start, length) of each occurrence of a window in ``docs`` (key, words)."""
-    few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    word = docs.select(*key, "words", F.posexplode("words").alias("__pos", "__word"))
-    if few:
-        side = F.broadcast(windows)
-    else:  # the keys alone thin out the words before whole texts move
-        side = windows
-    start = F.col("__pos") - F.col("at")
-    fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
-    same = F.slice("words", F.when(start >= 0, start).otherwise(0) + 1, F.size("window")) == F.col("window")
-    return word.join(side, F.col("__word") == F.col("anchor")).where(fits & same).select(
-        *key, "item_id", start.alias("start"), F.size("window").alias("length")
-    )
+    n, size = windows.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.array_join("window", " ")).cast("long") + 400)).first()
+    same = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.size("window")) == F.col("window")
+    found = [*key, "item_id", "start", F.size("window").alias("length")]
+    word = F.posexplode("words").alias("pos", "word")
+    start = (F.col("pos") - F.col("at")).alias("start")
+    fits = (F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n_words"))
+    if n <= BROADCAST_WINDOWS and (size or 0) <= BROADCAST_BYTES:
+        met = docs.select(*key, "words", F.size("words").alias("n_words"), word).join(F.broadcast(windows.drop("c")), F.col("word") == F.col("anchor"))
+        return met.select(*key, "words", "n_words", "item_id", "window", start).where(fits & same).select(*found)
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))
+    there = windows.select(bucket("anchor").alias("b")).distinct()  # BUCKETS rows at most
+    rows = docs.select(*key, F.size("words").alias("n_words"), word).join(F.broadcast(there), bucket("word") == F.col("b"), "left_semi")
+    rows = materialize(rows, "key-words")
+    # Hot words, keys or others that share a bucket with one, are few; all their windows go to every row.
+    often = rows.groupBy("word").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > hot_limit(rows)).select(F.col("word").alias("hot"))
+    often = materialize(often, "hot-words")
+    hot = windows.join(F.broadcast(often), F.col("anchor") == F.col("hot"), "left_semi").withColumn("bytes", F.octet_length(F.array_join("window", " ")))
+    keyed = F.col("word") == F.col("anchor")
+    met = rows.join(F.broadcast(often), F.col("word") == F.col("hot"), "left_anti").join(windows, keyed)
+    met = met.drop("c").unionByName(rows.join(sized(materialize(hot, "hot-windows"), "bytes", 1), keyed).drop("c", "bytes"))
+    candidates = materialize(met.select(*key, "n_words", "item_id", "window", start).where(fits).distinct(), "candidates")
+    names = {k: f"{k}_" for k in key}
+    near = candidates.withColumnsRenamed(names)
+    at = (F.col(key[1]) == F.col(f"{key[1]}_")) & F.col(key[0]).eqNullSafe(F.col(f"{key[0]}_"))
+    holders = materialize(candidates.select(*key).distinct().withColumnsRenamed(names), "holders")
+    texts = docs.join(sized(holders), at, "left_semi").dropDuplicates(key)
+    return texts.join(near, at).where(same).select(*found)
 
 
 def covered(spans: Column) -> Column:
@@ -101,7 +134,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFra
     words = docs.where(F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")
     )
-    hits = occurrences(words, item_windows(items, n), ["doc_id", "text_hash"])
+    hits = occurrences(words, item_windows(words, items, n), ["doc_id", "text_hash"])
     return hits.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
         F.sort_array(F.collect_set("item_id")).alias("item_ids"),
@@ -110,11 +143,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFra
 
 def with_contamination(docs: DataFrame, items: DataFrame, kept: list[Column], n: int = N) -> DataFrame:
     """``kept`` columns of every row of ``docs`` (doc_id, text), and spans and item_ids (null: clean)."""
-    found = find_contamination(docs, items, n).withColumnsRenamed({"doc_id": "__d", "text_hash": "__h"})
-    rows = docs.select(*kept, F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"))
-    return rows.join(found, (F.col("__hash") == F.col("__h")) & F.col("__doc").eqNullSafe(F.col("__d")), "left").drop(
-        "__d", "__h", "__doc", "__hash"
-    )
+    found = find_contamination(docs, items, n).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("hash"))
+    return rows.join(found, (F.col("hash") == F.col("h")) & F.col("doc").eqNullSafe(F.col("d")), "left").select("row.*", "spans", "item_ids")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +168,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no window of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    found = find_contamination(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
-    return docs.select(*own).join(
-        sized(materialize(found, "contaminated")), (F.xxhash64("text") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti"
-    )
+    found = find_contamination(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    rows = wrapped(docs, doc=F.col("doc_id"), hash=F.xxhash64("text"))
+    at = (F.col("hash") == F.col("h")) & F.col("doc").eqNullSafe(F.col("d"))
+    return rows.join(sized(materialize(found, "contaminated")), at, "left_anti").select("row.*")
 
 
 SQL = rf"""
