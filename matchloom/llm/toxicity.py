@@ -10,15 +10,20 @@ sentences.
 Two passes learn. The first counts, over all labelled rows that may be learned from,
 the documents with each feature by label (at most 2 ** FEATURE_BITS rows reach the
 driver); the ``SELECTED`` features that tell the labels apart best are kept. The
-second fits the weights on the driver on a bounded sample: at most ``MAX_TRAIN``
-documents, those with the smallest hashes of their ids, of which only the selected
-features are sent (no more than ``MAX_FEATURES``). The model is one table of
+second fits the weights on the driver on a bounded sample: of the labelled rows whose
+documents exist at most ``MAX_TRAIN``, those with the smallest hashes of their ids, and
+of these the first with no more than ``MAX_FEATURES`` selected features together. Both
+bounds hold before anything is sent, and what is sent hangs on no order of tasks. The model is one table of
 2 ** FEATURE_BITS numbers and is broadcast. Scoring is one pass over whole texts
 without a shuffle. Labels, language, source and id are no inputs of a score.
 
 Defined results: a null, empty or blank text is one sentence without words, whose
-score is the bias's; rows with a null label or doc_id are not learned from; repeated
-rows are scored alike; without labels every score is 0; an empty table gives no rows.
+score is the bias's; very long texts are scored whole, a sentence of any length is one;
+rows with a null label or doc_id (of any type) are not learned from; repeated rows of
+documents or labels are learned from as often as they occur, those of one id alike in
+hash (ties) in the order of label and size, and scored alike; sentences alike in score
+(ties): the first is the worst; other columns are not read, whatever their names;
+without labels every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import text as tx
 from matchloom.llm.spans import sized
+from matchloom.session import discard, materialize
 
 FEATURE_BITS, SELECTED, MAX_TRAIN, MAX_FEATURES = 18, 2048, 10_000, 4_000_000
 STEPS, RATE, L1, LEAST_DOCS = 300, 0.15, 1e-4, 5
@@ -97,13 +103,18 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _chosen_features(chosen):
+    """(order, toxic, n, f, s): of each row the selected features and their sentences, and how many."""
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, s = [], []
+            f, s, n = [], [], []
             for _, feature, sentence in _per_row(batch.column(1), chosen):
                 f.append(feature.astype("<i4").tobytes())
                 s.append(sentence.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.binary()), pa.array(s, pa.binary())], names=["toxic", "f", "s"])
+                n.append(len(feature))
+            kept = [batch.column(2), batch.column(0), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(f, pa.binary()), pa.array(s, pa.binary())], names=["order", "toxic", "n", "f", "s"])
+        tx.release()
 
     return features
 
@@ -123,6 +134,19 @@ def choose(feature: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
     return chosen
 
 
+def gradient(x: np.ndarray, toxic: np.ndarray, col: np.ndarray, sent: np.ndarray, doc_of: np.ndarray, m: int) -> np.ndarray:
+    """Of the mean negative log-likelihood of ``toxic`` under noisy-or, by the weights and the bias (last) in ``x``.
+
+    ``col``, ``sent``: feature and sentence of each occurrence; ``doc_of``: the document of each of ``m`` sentences.
+    """
+    n = len(toxic)
+    z = np.bincount(sent, x[col], m) + x[-1]
+    harm = np.bincount(doc_of, np.logaddexp(0, z), n)
+    da = np.where(toxic == 1, -1 / np.expm1(np.clip(harm, 1e-9, 500)), 1.0) / n
+    dz = da[doc_of] / (1 + np.exp(-np.clip(z, -500, 500)))
+    return np.append(np.bincount(col, dz[sent], len(x) - 1), dz.sum())
+
+
 def fit(toxic: np.ndarray, features: list[np.ndarray], sentence: list[np.ndarray]) -> tuple[np.ndarray, float]:
     """(weights, bias): gradient steps on the noisy-or likelihood with an L1 penalty."""
     w = np.zeros(1 << FEATURE_BITS, "f4")
@@ -133,15 +157,10 @@ def fit(toxic: np.ndarray, features: list[np.ndarray], sentence: list[np.ndarray
     ids, col = np.unique(np.concatenate(features), return_inverse=True)
     sent = np.concatenate([x + b for x, b in zip(sentence, base[:-1], strict=True)]).astype("i8")
     doc_of = np.repeat(np.arange(len(toxic)), n_sent)
-    n, m = len(toxic), int(base[-1])
     x, v1, v2 = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     x[-1] = -4.0
     for t in range(1, STEPS + 1):
-        z = np.bincount(sent, x[col], m) + x[-1]
-        harm = np.bincount(doc_of, np.logaddexp(0, z), n)
-        da = np.where(toxic == 1, -1 / np.expm1(np.clip(harm, 1e-9, 500)), 1.0) / n
-        dz = da[doc_of] / (1 + np.exp(-np.clip(z, -500, 500)))
-        g = np.append(np.bincount(col, dz[sent], len(ids)), dz.sum())
+        g = gradient(x, toxic, col, sent, doc_of, int(base[-1]))
         v1, v2 = 0.9 * v1 + 0.1 * g, 0.999 * v2 + 0.001 * g * g
         rate = RATE / (np.sqrt(v2 / (1 - 0.999**t)) + 1e-8)
         x = x - rate * v1 / (1 - 0.9**t)
@@ -156,24 +175,24 @@ def learnable(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); rows of both that may be learned from."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
+    known = materialize(labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic"), "labels")
     texts = docs.where("text is not null and doc_id is not null")
     # Labels are broadcast up to a measured number of rows; beyond it the texts are shuffled once.
     counted = texts.join(sized(known), "doc_id").select("toxic", "text").mapInArrow(_document_counts, "feature int, pos long, neg long")
     table = counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
     chosen = choose(*(table[c].to_numpy() for c in ("feature", "pos", "neg")))
-    # MAX_TRAIN rows at most
-    taken = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MAX_TRAIN)
-    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text").mapInArrow(_chosen_features(chosen), "toxic int, f binary, s binary")
-    toxic, f, s, total = [], [], [], 0
-    for r in rows.collect():
-        x = np.frombuffer(r["f"], "<i4")
-        if total + len(x) <= MAX_FEATURES:
-            toxic.append(r["toxic"])
-            f.append(x)
-            s.append(np.frombuffer(r["s"], "<i4").astype("i8"))
-            total += len(x)
-    return fit(np.array(toxic), f, s)
+    # Of the labelled ids with a text, the MAX_TRAIN with the smallest hashes.
+    order = F.xxhash64("doc_id").alias("order")
+    present = texts.select("doc_id").join(sized(known), "doc_id").distinct()
+    taken = present.select("doc_id", "toxic", order).orderBy("order", "doc_id", "toxic").limit(MAX_TRAIN)
+    rows = texts.join(F.broadcast(taken), "doc_id").select("toxic", "text", "order")
+    rows = materialize(rows.mapInArrow(_chosen_features(chosen), "order long, toxic int, n long, f binary, s binary"), "features")
+    ranked = rows.orderBy("order", "toxic", "n", "f", "s")
+    sizes = np.cumsum([r[0] for r in ranked.limit(MAX_TRAIN).select("n").collect()])
+    sent = ranked.limit(int(np.searchsorted(sizes, MAX_FEATURES, "right"))).collect()
+    discard(rows)
+    toxic = np.array([r["toxic"] for r in sent])
+    return fit(toxic, [np.frombuffer(r["f"], "<i4") for r in sent], [np.frombuffer(r["s"], "<i4").astype("i8") for r in sent])
 
 
 def _scorer(shared):
@@ -207,6 +226,7 @@ def _scorer(shared):
                     ],
                     names=["doc_id", "score", "n_sentences", "worst_sentence", "offending", "offending_starts"],
                 )
+        tx.release()
 
     return score
 
