@@ -17,17 +17,23 @@ rows; a full table is emptied before the next texts, so memory is bounded and re
 don't change.
 
 Texts are cut into chunks of ``CHUNK`` bytes, and all chunks run in step, one table
-look-up for each byte of all chunks. A chunk's state map is constant as soon as a
-word ends in it, so its part after the first word end is run at once from the start
-state. The parts before are composed with the exit states of the chunks to their
-left in rounds of a segmented scan; a round settles every chunk whose neighbour is
-settled, and long words alone need more than one.
+look-up for each byte of all chunks. A chunk's state map (entry state to exit state and
+tokens) is constant as soon as a word ends in it, so its part after the first word end
+is run at once from the start state, and the parts before from the exits to their left.
+Chunks within a long word have maps of several entry states: those that the bytes
+before them leave from the start state, and those that the maps to their left lead to,
+until no map leads out of the next one's. The maps are then composed along each word in
+a parallel prefix scan, in as many steps as the logarithm of its chunks, which gives
+each chunk its entry and thereby its tokens.
 
 Normalisation (NFC, white space, lower case) and the pre-tokenizer's pattern are
 evaluated on arrays of code points. Strings of special tokens are one token each.
 
-Defined results: a null or empty text has no tokens; nulls and repeated rows
-elsewhere don't matter; an empty table gives no rows.
+Defined results: a null or empty text has no tokens; very long texts, and words, are
+counted whole; of merges that overlap (ties in a text) the lowest rank, then the
+leftmost goes first, as in the library; doc_ids may be null and of any type; repeated
+rows are counted alike; other columns are not read, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +42,6 @@ import json
 import os
 import re
 import sys
-import types
 import unicodedata
 from collections.abc import Iterator
 
@@ -48,6 +53,8 @@ from pyspark.sql import functions as F
 from matchloom.llm import text as tx
 
 CHUNK, MAX_STATES, LIMIT = 256, 1 << 16, 2048
+#: Bytes before a chunk within a word that are read for its first entry state.
+LEAD = 64
 #: Suffixes with so few continuations are looked into.
 FEW = 150
 VOCABULARY = "word_bpe_49k.json"
@@ -257,21 +264,57 @@ class Transducer:
         fixed = first | (cut <= chunk_end)  # the exit doesn't hang on the entry
         split = np.where(first, chunk_start, np.minimum(cut, chunk_end))
         exit_, total = self.run(symbols, split, chunk_end, np.zeros(n, "i8"))
-        settled = fixed.copy()
-        waiting = np.flatnonzero(~first)
-        while len(waiting):
-            now = waiting[settled[waiting - 1]]
-            out, more = self.run(symbols, chunk_start[now], split[now], exit_[now - 1])
-            total[now] += more
-            open_ = ~fixed[now]
-            exit_[now[open_]] = out[open_]
-            settled[now] = True
-            left = np.zeros(n, bool)
-            left[waiting] = True
-            left[now] = False
-            waiting = np.flatnonzero(left)
+        now = np.flatnonzero(~first & np.append(False, fixed[:-1]))  # entered from a known state
+        out, more = self.run(symbols, chunk_start[now], split[now], exit_[now - 1])
+        total[now] += more
+        exit_[now[~fixed[now]]] = out[~fixed[now]]
+        inner = np.flatnonzero(~first & ~np.append(True, fixed[:-1]))
+        if len(inner):
+            total[inner] += self.composed(symbols, inner, chunk_start, split, exit_)
         return total
 
+    def composed(self, symbols: np.ndarray, inner: np.ndarray, chunk_start: np.ndarray, split: np.ndarray, exit_: np.ndarray) -> np.ndarray:
+        """Tokens that chunks ``inner`` emit up to ``split``: chunks whose left neighbours lie within the same word.
+
+        ``exit_`` is known of a neighbour that isn't itself ``inner``.
+        """
+        v = len(inner)
+        chained = np.append(False, np.diff(inner) == 1)  # the neighbour is inner
+        heads = np.flatnonzero(~chained)
+        entry: list[dict[int, int]] = [{} for _ in range(v)]  # number of each entry state
+        rows: list[list[tuple[int, int]]] = [[] for _ in range(v)]  # exit state and tokens of each
+        lead = np.flatnonzero(chained)
+        begin = chunk_start[inner[lead]]
+        guess, _ = self.run(symbols, begin - np.minimum(LEAD, CHUNK), begin, np.zeros(len(lead), "i8"))
+        fresh = [*zip(heads.tolist(), exit_[inner[heads] - 1].tolist(), strict=True), *zip(lead.tolist(), guess.tolist(), strict=True)]
+        while fresh:
+            for k, state in fresh:
+                entry[k][state] = len(entry[k])
+            lane = np.array([k for k, _ in fresh])
+            out, n = self.run(symbols, chunk_start[inner[lane]], split[inner[lane]], np.array([state for _, state in fresh], "i8"))
+            more = {}
+            for k, o, c in zip(lane.tolist(), out.tolist(), n.tolist(), strict=True):
+                rows[k].append((o, c))
+                if k + 1 < v and chained[k + 1] and o not in entry[k + 1]:
+                    more[k + 1, o] = None
+            fresh = list(more)
+        width = max(map(len, rows))
+        to, count = np.zeros((v, width), "i8"), np.zeros((v, width), "i8")
+        for k, found in enumerate(rows):
+            for j, (o, c) in enumerate(found):
+                count[k, j] = c
+                if k + 1 < v and chained[k + 1]:
+                    to[k, j] = entry[k + 1][o]
+        depth = np.arange(v) - np.repeat(heads, np.diff(np.append(heads, v)))
+        step = 1
+        while step <= depth.max(initial=0):  # to[k]: from the entry of the chunk up to ``step`` before k, to that of the next one
+            k = np.flatnonzero(depth >= step)
+            to[k] = np.take_along_axis(to[k], to[k - step], axis=1)
+            step *= 2
+        at = np.zeros(v, "i8")
+        at[lead] = to[lead - 1, 0]  # a word's first chunk has one entry state, number 0
+        return count[np.arange(v), at]
+
 
 def _classes() -> np.ndarray:
     """Of each code point: 0 white space, 1 letter, 2 number, 3 other."""
@@ -358,13 +401,14 @@ class Counter:
         return extra + np.bincount(np.array(owner)[part], got, len(texts)).astype("i8")
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
 def counter(path: str) -> Counter:
     """One for each worker process and path."""
-    shelf = sys.modules.setdefault("_matchloom_counters", types.ModuleType("_matchloom_counters")).__dict__
-    key = f"counter:{path}"
-    if key not in shelf:
-        shelf[key] = Counter(path)
-    return shelf[key]
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path)
+    return _COUNTERS[path]
 
 
 def _counting(path: str | None):
@@ -378,6 +422,7 @@ def _counting(path: str | None):
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(c.count(texts))],
                     names=["doc_id", "n_bytes", "n_tokens"],
                 )
+        tx.release()
 
     return count
 
