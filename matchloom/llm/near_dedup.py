@@ -10,9 +10,9 @@ everything: its ``K`` smallest values are retained (all of a smaller set).
    at most ``K`` shingles: exactly; larger ones but for a chance of 5e-6 for a pair at
    the threshold). Values that a document alone has use up this prefix, so a passage
    that many documents share is no list of those whose other text is their own.
-3. A short list gives all its pairs. A long list gives each member paired with the
-   list's hub, the member whose own lists are longest; so a group of thousands of
-   copies costs its size, not its square.
+3. A short list gives all its pairs. A long list has a hub, the member whose own lists
+   are longest; a document is paired with the ``HUBS`` first of the hubs of its long
+   lists, so a group of thousands of copies costs its size, not its square.
 4. The ``K`` smallest values of a pair's union, found from the two sketches, estimate
    its similarity: their share that both have. Pairs far below the threshold go.
 5. The others are compared exactly, on their full sets of shingles from the texts.
@@ -51,7 +51,7 @@ from matchloom.session import discard, materialize
 SHINGLE, PERCENT = 5, 85
 #: The stage of the pipeline links from this similarity on; ``PERCENT`` is the contract of the query.
 STAGE_PERCENT = 80
-K, SHORT_LIST = 64, 8
+K, SHORT_LIST, HUBS = 64, 8, 2
 #: So many standard deviations fewer than at the threshold may be shared of ``K`` values.
 DEVIATIONS = 5
 _NONE = np.int64(2**63 - 1)
@@ -244,8 +244,10 @@ def node_links(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent:
     weight = shared.groupBy("id").agg(F.sum("c").alias("w"))
     long_ = shared.where(F.col("c") > SHORT_LIST)
     heads = long_.join(weight, "id").groupBy("key", "c").agg(F.min(F.struct(-F.col("w"), F.col("id").alias("hub"))).alias("h"))
-    hubs = materialize(heads.select("key", "c", "h.hub"), "hubs")
-    stars = hot_join(long_, hubs, "key", limit).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+    hubs = materialize(heads.select("key", "c", "h"), "hubs")
+    met = hot_join(long_, hubs, "key", limit).where("id <> h.hub")
+    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("h")), 1, HUBS).alias("h"))  # at most as many as its prefix is long
+    stars = best.select("id", F.explode("h.hub").alias("hub")).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
     first = materialize(pairs.select("a", "b").unionByName(stars).distinct(), "candidates")
     links = materialize(exact_links(first, sketches, nodes, docs, percent), "links")
     found = materialize(components(links, "first"), "components")
