@@ -1,7 +1,8 @@
 """Spectral statistics of token matrices (``spc_*``), NumPy inside grouped Arrow calls.
 
 One singular value decomposition serves all statistics of a matrix; statistics of the
-two sides are made once for each entity, before pairs are formed.
+two sides are made once for each entity, before pairs are formed
+(``candidates.with_entity_features``), and only those of both stacked for each pair.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """String similarity of two texts: the 22 ``syn_*`` features.
 
 ``syntax_native`` builds those that Catalyst can express over texts that are already
-normalised; ``syntax_features`` returns all 22 from raw texts in one Arrow UDF call for
-each batch, for exact Unicode handling and the edit distances Spark lacks.
+normalised; ``syntax_features`` returns any of the 22 from raw texts in one Arrow UDF
+call for each batch, for exact Unicode handling and the edit distances Spark lacks, and
+computes no feature that isn't named.
 """
 
 from __future__ import annotations
@@ -156,20 +157,38 @@ def cosine_counts(a: list[str], b: list[str]) -> float:
     return dot / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
 
 
-def all_features(a: str | None, b: str | None) -> dict[str, float]:
+def features_of(a: str | None, b: str | None, names: tuple[str, ...] = SYNTAX_FEATURES) -> dict[str, float]:
+    """The named features of two raw texts; what several share is made once, what none needs is not made."""
     raw_a, raw_b = a or "", b or ""
     x, y = normalize(a), normalize(b)
     longest = max(len(x), len(y), 1)
-    grams = {n: (char_ngrams(x, n), char_ngrams(y, n)) for n in (2, 3)}
-    words = x.split(), y.split()
-    lev, swap, lcs = levenshtein(x, y), osa(x, y), lcs_length(x, y)
-    values = (
-        len(x), len(y), raw_a == raw_b, raw_a.casefold() == raw_b.casefold(), bool(x) and x in y, bool(y) and y in x,
-        lev, 1 - lev / longest, swap, 1 - swap / longest, lcs, lcs / longest,
-        common_prefix(x, y) / longest, common_prefix(x[::-1], y[::-1]) / longest, jaccard(*words), dice(*words),
-        jaccard(*grams[2]), jaccard(*grams[3]), cosine_counts(*grams[2]), cosine_counts(*grams[3]), jaro(x, y), jaro_winkler(x, y),
-    )
-    return dict(zip(SYNTAX_FEATURES, map(float, values), strict=True))
+    made: dict[str, object] = {}
+
+    def once(key: str, f, *args):
+        if key not in made:
+            made[key] = f(*args)
+        return made[key]
+
+    lev = lambda: once("lev", levenshtein, x, y)
+    swap = lambda: once("osa", osa, x, y)
+    lcs = lambda: once("lcs", lcs_length, x, y)
+    near = lambda: once("jaro", jaro, x, y)
+    grams = lambda n: once(f"grams{n}", lambda: (char_ngrams(x, n), char_ngrams(y, n)))
+    rules = {
+        "syn_len_a": lambda: len(x), "syn_len_b": lambda: len(y),
+        "syn_equal_exact": lambda: raw_a == raw_b, "syn_equal_casefold": lambda: raw_a.casefold() == raw_b.casefold(),
+        "syn_contains_a_in_b": lambda: bool(x) and x in y, "syn_contains_b_in_a": lambda: bool(y) and y in x,
+        "syn_levenshtein": lev, "syn_levenshtein_sim": lambda: 1 - lev() / longest,
+        "syn_damerau_osa": swap, "syn_damerau_osa_sim": lambda: 1 - swap() / longest,
+        "syn_lcs_len": lcs, "syn_lcs_ratio": lambda: lcs() / longest,
+        "syn_common_prefix_ratio": lambda: common_prefix(x, y) / longest,
+        "syn_common_suffix_ratio": lambda: common_prefix(x[::-1], y[::-1]) / longest,
+        "syn_jaccard_tokens": lambda: jaccard(x.split(), y.split()), "syn_dice_tokens": lambda: dice(x.split(), y.split()),
+        "syn_jaccard_bigrams": lambda: jaccard(*grams(2)), "syn_jaccard_trigrams": lambda: jaccard(*grams(3)),
+        "syn_cosine_bigrams": lambda: cosine_counts(*grams(2)), "syn_cosine_trigrams": lambda: cosine_counts(*grams(3)),
+        "syn_jaro": near, "syn_jaro_winkler": lambda: near() + 0.1 * min(4, common_prefix(x, y)) * (1 - near()),
+    }
+    return {n: float(rules[n]()) for n in names}
 
 
 # Arrow UDFs
@@ -181,7 +200,7 @@ def syntax_features(a: Column, b: Column, names: tuple[str, ...] = SYNTAX_FEATUR
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def features(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([all_features(p, q) for p, q in zip(x, y, strict=True)], columns=list(SYNTAX_FEATURES))[list(names)]
+        return pd.DataFrame([features_of(p, q, names) for p, q in zip(x, y, strict=True)], columns=list(names))
 
     return features(a, b)
 
@@ -233,19 +252,24 @@ def dice_arrays(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / n)
 
 
-def _count_in(x: Column, g: Column) -> Column:
-    return F.size(F.filter(x, lambda y: y == g)).cast("double")
-
-
 def cosine_arrays(a: Column, b: Column) -> Column:
-    """Of multisets; one look at every pair of grams, for short texts."""
-    total = lambda grams, f: F.aggregate(F.array_distinct(grams), F.lit(0.0), lambda s, g: s + f(g))
-    dot = total(a, lambda g: _count_in(a, g) * _count_in(b, g))
-    norm = lambda x: total(x, lambda g: _count_in(x, g) * _count_in(x, g))
+    """Of multisets, in one pass over the runs of equal grams of both, sorted together."""
+    zero = F.lit(0.0)
+    tag = lambda grams, p, q: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(p).alias("p"), F.lit(q).alias("q")))
+    both = F.sort_array(F.concat(tag(a, 1.0, 0.0), tag(b, 0.0, 1.0)))
+    named = lambda g, p, q, dot, x, y: F.struct(g.alias("g"), p.alias("p"), q.alias("q"), dot.alias("dot"), x.alias("x"), y.alias("y"))
+    start = named(F.lit(None).cast("string"), zero, zero, zero, zero, zero)
+
+    def step(s: Column, e: Column) -> Column:
+        same = named(s["g"], s["p"] + e["p"], s["q"] + e["q"], s["dot"], s["x"], s["y"])
+        new = named(e["g"], e["p"], e["q"], s["dot"] + s["p"] * s["q"], s["x"] + s["p"] * s["p"], s["y"] + s["q"] * s["q"])
+        return F.when(s["g"] == e["g"], same).otherwise(new)
+
+    end = lambda s: (s["dot"] + s["p"] * s["q"]) / F.sqrt((s["x"] + s["p"] * s["p"]) * (s["y"] + s["q"] * s["q"]))
     return (
         F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
         .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-        .otherwise(dot / F.sqrt(norm(a) * norm(b)))
+        .otherwise(F.aggregate(both, start, step, end))
     )
 
 

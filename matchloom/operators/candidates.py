@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ REDUCED_FEATURES = (
     "syn_cosine_bigrams", "syn_jaccard_trigrams", "syn_jaccard_tokens", "syn_jaro_winkler", "cls_euclidean",
     "syn_lcs_ratio", "cls_chebyshev", "syn_len_b", "syn_common_suffix_ratio", "tda_h0_entropy_combined",
 )
+#: Columns that say what a candidate is; fixed names.
 CONTEXT = (
     "pair_id", "dataset", "relation_type", "category", "source_table", "target_table", "source_column", "target_column",
     "source_col_norm", "target_col_norm", "label",
 )
+#: Source columns of one pair in one task.
+PART_COLUMNS = 64
 ALL_FEATURES = (*SYNTAX_FEATURES, *CLASSICAL_FEATURES, *matrices.SPECTRAL_FEATURES, *topology.TOPOLOGICAL_FEATURES)
 
 
@@ -52,14 +56,18 @@ def select_paper_columns(df: DataFrame) -> DataFrame:
     return df.select(*CONTEXT, *paper_features())
 
 
-def candidate_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
+def candidate_pairs(source: DataFrame, target: DataFrame, part_columns: int = PART_COLUMNS) -> DataFrame:
     """Every source column with every target column of the same pair_id: a hash join on it.
 
-    Both sides are (pair_id, column, norm, text, ...); salted by source column, so that
-    a pair with very many columns is dealt over many tasks.
+    Both sides are (pair_id, column, norm, text, ...). A pair's source columns are dealt to
+    parts of about ``part_columns``, and its target columns repeated for each part, so a
+    pair with very many columns is met by many tasks.
     """
     rename = lambda df, k: df.select("pair_id", *[F.col(c).alias(f"{k}_{c}") for c in df.columns if c != "pair_id"])
-    return rename(source, "source").join(rename(target, "target"), "pair_id")
+    parts = source.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / part_columns).cast("int").alias("parts"))
+    left = rename(source, "source").join(parts, "pair_id").withColumn("part", F.pmod(F.xxhash64("source_column"), F.col("parts")).cast("int"))
+    right = rename(target, "target").join(parts, "pair_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.drop("parts").join(right.drop("parts"), ["pair_id", "part"]).drop("part")
 
 
 def label(candidates: DataFrame, truth: DataFrame) -> DataFrame:
@@ -79,18 +87,46 @@ def _matrix_udf(names: tuple[str, ...], f):
     return features
 
 
-def _reduced_h0(a, b) -> dict[str, float]:
-    import numpy as np
-
+def _stacked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     both = [m for m in (a, b) if len(m)]
-    return {"tda_h0_entropy_combined": topology.h0_entropy_combined(np.vstack(both)) if both else 0.0}
+    return np.vstack(both) if both else np.zeros((0, 0))
+
+
+def with_entity_features(entities: DataFrame, maxdim: int = 2) -> DataFrame:
+    """``entities`` (tok) with what their pairs share: ``spc`` (5 statistics) and ``bars`` (the diagram's bars by dimension, end after start)."""
+
+    @F.pandas_udf("spc array<double>, bars array<array<double>>")
+    def made(tok: pd.Series) -> pd.DataFrame:
+        clouds = [enc.matrix(t) for t in tok]
+        spc = [[matrices.spectral(m)[k] for k in matrices.SPECTRAL_STATS] for m in clouds]
+        bars = [[x.ravel().tolist() for x in topology.diagram(m, maxdim)] if len(m) else [[]] * (maxdim + 1) for m in clouds]
+        return pd.DataFrame({"spc": spc, "bars": bars})
+
+    return entities.withColumn("__e", made("tok")).select(*entities.columns, "__e.*")
+
+
+def _bars(column) -> list[np.ndarray]:
+    return [np.asarray(x, float).reshape(-1, 2) for x in column]
+
+
+def _topology_udf(maxdim: int):
+    @F.pandas_udf(", ".join(f"{n} double" for n in topology.TOPOLOGICAL_FEATURES))
+    def features(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [
+            topology.topological_pair(enc.matrix(p), enc.matrix(q), maxdim, (_bars(u), _bars(v))) for p, q, u, v in zip(a, b, x, y, strict=True)
+        ]
+        return enc.to_frame(rows, topology.TOPOLOGICAL_FEATURES)
+
+    return features
 
 
 def with_features(candidates: DataFrame, names: list[str], maxdim: int = 2) -> DataFrame:
     """``candidates`` (source_text, target_text, source_vec, target_vec, source_tok, target_tok) with features.
 
     A family costs only if it is asked for: strings and matrices are Arrow calls of
-    their own, vectors native. Of topology, what needs only spanning trees skips the
+    their own, vectors native. What one entity alone decides comes from
+    ``with_entity_features`` (source_spc, source_bars, ...), which spectral features and
+    those of whole diagrams need; of topology, what needs only spanning trees skips the
     rest. Infinities, NaN and nulls become 0.
     """
     out, want = candidates, set(names)
@@ -102,15 +138,22 @@ def with_features(candidates: DataFrame, names: list[str], maxdim: int = 2) -> D
         x, y = vectors.doubles(F.col("source_vec")), vectors.doubles(F.col("target_vec"))
         made = classical_native(x, y)
         out = out.withColumns({n: made[n] for n in cls})
-    if want & set(matrices.SPECTRAL_FEATURES):
-        f = _matrix_udf(matrices.SPECTRAL_FEATURES, matrices.spectral_pair)
-        out = out.withColumn("__m", f("source_tok", "target_tok")).select("*", "__m.*").drop("__m")
+    both = (F.size("source_tok") > 0) & (F.size("target_tok") > 0)
+    spc = want & set(matrices.SPECTRAL_FEATURES)
+    if spc:
+        own = {f"spc_{k}_{n}": F.when(both, F.get(f"{side}_spc", F.lit(i))) for side, k in (("source", "src"), ("target", "tgt")) for i, n in enumerate(matrices.SPECTRAL_STATS)}
+        out = out.withColumns({n: c for n, c in own.items() if n in spc})
+        stacked = tuple(f"spc_combined_{n}" for n in matrices.SPECTRAL_STATS)
+        if spc & set(stacked):
+            empty = dict.fromkeys(matrices.SPECTRAL_STATS, 0.0)
+            f = _matrix_udf(stacked, lambda a, b: {f"spc_combined_{k}": v for k, v in (matrices.spectral(np.vstack([a, b])) if len(a) and len(b) else empty).items()})
+            out = out.withColumn("__m", f("source_tok", "target_tok")).select("*", "__m.*").drop("__m")
     tda = want & set(topology.TOPOLOGICAL_FEATURES)
     if tda == {"tda_h0_entropy_combined"} or (not tda and "tda_h0_entropy_combined" in want):
-        f = _matrix_udf(("tda_h0_entropy_combined",), _reduced_h0)
+        f = _matrix_udf(("tda_h0_entropy_combined",), lambda a, b: {"tda_h0_entropy_combined": topology.h0_entropy_combined(_stacked(a, b))})
         out = out.withColumn("__m", f("source_tok", "target_tok")).select("*", "__m.*").drop("__m")
     elif tda:
-        f = _matrix_udf(topology.TOPOLOGICAL_FEATURES, lambda a, b: topology.topological_pair(a, b, maxdim))
-        out = out.withColumn("__m", f("source_tok", "target_tok")).select("*", "__m.*").drop("__m")
+        made = _topology_udf(maxdim)("source_tok", "target_tok", "source_bars", "target_bars")
+        out = out.withColumn("__m", made).select("*", "__m.*").drop("__m")
     keep = [c for c in out.columns if c not in ALL_FEATURES or c in want]
     return out.select(*keep).withColumns({n: clean(F.col(n).cast("double")) for n in names})

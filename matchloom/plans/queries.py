@@ -8,6 +8,8 @@ candidates are the labelled documents, with the source as the pair.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -113,9 +115,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["flagship"] = flagship
 
 
+def entities(spark, sf_dir, table: str, pair_id: str) -> DataFrame:
+    """The encoded columns of a table: (column, norm, text, vec, tok), tok of at most the encoder's 64 words."""
+    texts = profile.column_texts(t(spark, sf_dir, table)).withColumn("pair_id", F.lit(pair_id))
+    # Few rows and much work on each: a task for each column.
+    return encoder.encode(texts.repartition(16, "column"), "text")
+
+
 @query("candidate_features_reduced")
 def candidate_features_reduced(spark, sf_dir):
-    side = lambda n: encoder.encode(profile.column_texts(t(spark, sf_dir, n)).withColumn("pair_id", F.lit("customer__supplier")), "text")
+    side = lambda n: entities(spark, sf_dir, n, "customer__supplier")
     pairs = candidates.candidate_pairs(side("customer"), side("supplier"))
     made = candidates.with_features(candidates.label(pairs, suffix_truth(pairs)), list(candidates.REDUCED_FEATURES))
     return made.select("pair_id", "source_column", "target_column", "label", *candidates.REDUCED_FEATURES)
@@ -123,11 +132,10 @@ def candidate_features_reduced(spark, sf_dir):
 
 @query("candidate_features_full")
 def candidate_features_full(spark, sf_dir):
-    """All 79 features of nation x region; two-dimensional homology is left to ``tda_h2``."""
-    make = lambda: encoder.hashed_encoder(max_tokens=16)
-    side = lambda n: encoder.encode(profile.column_texts(t(spark, sf_dir, n)).withColumn("pair_id", F.lit("nation__region")), "text", make)
+    """All 79 features of nation x region, with homology up to dimension 2."""
+    side = lambda n: candidates.with_entity_features(entities(spark, sf_dir, n, "nation__region"))
     pairs = candidates.candidate_pairs(side("nation"), side("region"))
-    made = candidates.with_features(candidates.label(pairs, suffix_truth(pairs)), list(candidates.ALL_FEATURES), maxdim=1)
+    made = candidates.with_features(candidates.label(pairs, suffix_truth(pairs)), list(candidates.ALL_FEATURES))
     return made.select("pair_id", "source_column", "target_column", "label", *candidates.ALL_FEATURES)
 
 
@@ -236,7 +244,7 @@ def text_normalize(spark, sf_dir):
 
 @query(
     "alnum_tokens",
-    "SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM benchmark WHERE text = lower(text) OR true",
+    "SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM benchmark",
 )
 def alnum_tokens(spark, sf_dir):
     b = t(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("words"))
@@ -297,11 +305,10 @@ def cls_spearman(spark, sf_dir):
 # Matrices and point clouds: the embeddings of a label
 
 
-def clouds(spark, sf_dir, limit: int | None = None) -> DataFrame:
-    """(label, ids, tok): vectors in order of their ids; at most ``limit`` of them, as the encoders' token cap."""
+def clouds(spark, sf_dir) -> DataFrame:
+    """(label, tok): all of a label's vectors, in order of their ids. A cloud is one value of the functions on it."""
     e = t(spark, sf_dir, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("m"))
-    m = F.slice("m", 1, limit) if limit else F.col("m")
-    return e.select("label", F.transform(m, lambda x: x["embedding"]).alias("tok"))
+    return e.repartition("label").select("label", F.transform("m", lambda x: x["embedding"]).alias("tok"))
 
 
 def _stats(names, f):
@@ -347,9 +354,9 @@ def spc_self_cluster(spark, sf_dir):
     return g.join(n, "label").where("n >= 2").select("label", F.round(value, 5).alias("self_cluster"))
 
 
-def cloud_pairs(spark, sf_dir, limit: int | None = None) -> DataFrame:
+def cloud_pairs(spark, sf_dir) -> DataFrame:
     """Each label's cloud with the next label's."""
-    c = clouds(spark, sf_dir, limit)
+    c = clouds(spark, sf_dir)
     return c.select(F.col("label").alias("a"), F.col("tok").alias("x")).join(c.select((F.col("label") - 1).alias("a"), F.col("tok").alias("y")), "a")
 
 
@@ -361,9 +368,9 @@ def _pair_stats(names, f):
     return run
 
 
-def _pairs_query(names, f, limit=None):
+def _pairs_query(names, f):
     def run(spark, sf_dir):
-        made = cloud_pairs(spark, sf_dir, limit).select("a", _pair_stats(names, f)("x", "y").alias("s"))
+        made = cloud_pairs(spark, sf_dir).select("a", _pair_stats(names, f)("x", "y").alias("s"))
         return made.select("a", *[r6(F.col("s")[n]).alias(n) for n in names])
 
     return run
@@ -410,28 +417,53 @@ def tda_h0(spark, sf_dir):
 query("tda_h0_count", "SELECT label, count(*)::DOUBLE AS h0_count FROM embeddings GROUP BY label")(lambda spark, sf_dir: tda_h0(spark, sf_dir).select("label", "h0_count"))
 
 
-def _diagram_query(maxdim, limit):
-    names = tuple(f"tda_all_h{k}_{s}" for k in range(maxdim + 1) for s in ("count", "max_life", "entropy"))
+def _diagram_names(maxdim: int) -> tuple[str, ...]:
+    return tuple(f"tda_all_h{k}_{s}" for k in range(maxdim + 1) for s in ("count", "max_life", "entropy"))
 
-    def run(spark, sf_dir):
-        f = _stats(names, lambda m: {k: v for k, v in topology.unary(topology.diagram(m, maxdim), "all").items() if k in names})
-        return clouds(spark, sf_dir, limit).select("label", f("tok").alias("s")).select("label", *[r6(F.col("s")[n]).alias(n) for n in names])
 
-    return run
+def _diagram_stats(maxdim: int):
+    names = _diagram_names(maxdim)
+    return _stats(names, lambda m: {k: v for k, v in topology.unary(topology.diagram(m, maxdim), "all").items() if k in names})
+
+
+@query("tda_h1")
+def tda_h1(spark, sf_dir):
+    """Of all vectors of each label."""
+    made = clouds(spark, sf_dir).select("label", _diagram_stats(1)("tok").alias("s"))
+    return made.select("label", *[r6(F.col("s")[n]).alias(n) for n in _diagram_names(1)])
+
+
+@query("tda_h2")
+def tda_h2(spark, sf_dir):
+    """Of the token matrices of all columns of customer, supplier, nation and region."""
+    e = entities(spark, sf_dir, "customer", "customer")
+    for n in ("supplier", "nation", "region"):
+        e = e.unionByName(entities(spark, sf_dir, n, n))
+    made = e.select(F.col("pair_id").alias("table"), "column", _diagram_stats(2)("tok").alias("s"))
+    return made.select("table", "column", *[r6(F.col("s")[n]).alias(n) for n in _diagram_names(2)])
 
 
-query("tda_h1")(_diagram_query(1, encoder.MAX_TOKENS // 2))
-query("tda_h2")(_diagram_query(2, encoder.MAX_TOKENS // 4))
 _DIST = ("tda_h0_bottleneck", "tda_h1_bottleneck", "tda_h0_wasserstein", "tda_h1_wasserstein")
 
 
-def _distances(a, b):
-    p, q = topology.diagram(a, 1), topology.diagram(b, 1)
-    values = topology.bottleneck(p[0], q[0]), topology.bottleneck(p[1], q[1]), topology.wasserstein(p[0], q[0]), topology.wasserstein(p[1], q[1])
-    return dict(zip(_DIST, values, strict=True))
+@query("tda_diagram_distances")
+def tda_diagram_distances(spark, sf_dir):
+    """Between the diagrams of all columns of customer and of supplier, made once for each column."""
+    side = lambda n: candidates.with_entity_features(entities(spark, sf_dir, n, "customer__supplier"), 1)
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in _DIST))
+    def distances(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, q in zip(x, y, strict=True):
+            a, b = ([np.asarray(v, float).reshape(-1, 2) for v in bars] for bars in (p, q))
+            rows.append(dict(zip(_DIST, (topology.bottleneck(a[0], b[0]), topology.bottleneck(a[1], b[1]), topology.wasserstein(a[0], b[0]), topology.wasserstein(a[1], b[1])), strict=True)))
+        return encoder.to_frame(rows, _DIST)
+
+    pairs = candidates.candidate_pairs(side("customer"), side("supplier")).repartition(16, "source_column", "target_column")
+    made = pairs.select("source_column", "target_column", distances("source_bars", "target_bars").alias("s"))
+    return made.select("source_column", "target_column", *[r6(F.col("s")[n]).alias(n) for n in _DIST])
 
 
-query("tda_diagram_distances")(_pairs_query(_DIST, _distances, encoder.MAX_TOKENS // 2))
 query("tda_h0_entropy_combined")(_pairs_query(("tda_h0_entropy_combined",), lambda a, b: {"tda_h0_entropy_combined": topology.h0_entropy_combined(np.vstack([a, b]))}))
 
 # Evaluation: labelled documents, source as the pair, a score from the length
@@ -524,7 +556,7 @@ def average_precision(spark, sf_dir):
 
 
 def matching_candidates(spark, sf_dir) -> DataFrame:
-    """Candidates of each source: document languages against quality bands."""
+    """Candidates of each source: seven source columns against five target columns, by the remainders of the ids."""
     s = scored(spark, sf_dir)
     return s.select(
         "pair_id", F.concat_ws("-", F.lit("s"), F.col("doc_id") % 7).alias("source_col_norm"), F.concat_ws("-", F.lit("t"), F.col("doc_id") % 5).alias("target_col_norm"), "label", "score", "doc_id"
@@ -596,7 +628,7 @@ def materialize_folds(spark, sf_dir):
 
     pairs = t(spark, sf_dir, "documents").select(F.col("source").alias("pair_id"), F.lit("all").alias("stratum")).distinct()
     rows = scored(spark, sf_dir).select("doc_id", "pair_id", "label", (F.col("doc_id") % 11).alias("key"))
-    return splits.materialize_folds(rows, splits.repeated_splits(pairs), f"{shared_folder(spark)}/folds", ["key"])
+    return splits.materialize_folds(rows, splits.repeated_splits(pairs), f"{shared_folder(spark).rstrip('/')}/matchloom/{uuid.uuid4().hex}/folds", ["key"])
 
 
 # Statistics: event types as methods, users as pairs, mean value as metric

@@ -25,19 +25,25 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
     )
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (one machine, tests) is a temporary one made.
+    Where the session names none, one machine (a local master, as in tests) gets a
+    temporary folder for as long as the process lives; a cluster gets an error.
     """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = tempfile.mkdtemp(prefix="matchloom-")
-        atexit.register(shutil.rmtree, there, True)
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there:
+        return there
+    context = spark.sparkContext
+    if context.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="matchloom-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], True)
+    return _OWN[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

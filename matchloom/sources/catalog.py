@@ -22,26 +22,42 @@ PAIR_SCHEMA = (
 
 
 def relation_type(c: Column) -> Column:
-    key = F.lower(F.trim(c))
+    key = normalize_name(c)
     out = F.lit(OTHER_RELATION)
     for k, v in RELATIONS.items():
         out = F.when(key == k, v).otherwise(out)
     return out
 
 
+def _files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of all files below ``root``, on any file system that Hadoop reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while listed.hasNext():
+        out.append(listed.next().getPath().toString())
+    return out
+
+
 def discover_pairs(spark: SparkSession, root: str) -> DataFrame:
     """One row for each folder that holds a ``*_mapping.json`` with exactly one source and one target CSV."""
-    rows = []
-    for mapping in sorted(Path(root).rglob("*_mapping.json")):
-        sources, targets = sorted(mapping.parent.glob("*_source.csv")), sorted(mapping.parent.glob("*_target.csv"))
-        if len(sources) != 1 or len(targets) != 1:
-            continue
-        parts = mapping.parent.relative_to(root).parts
-        known = RELATIONS.get(parts[1].strip().lower()) if len(parts) > 1 else None
-        rows.append(
-            ("__".join(parts), parts[0] if parts else "", known or OTHER_RELATION, parts[0] if parts else "", str(sources[0]), str(targets[0]), str(mapping), sources[0].stem, targets[0].stem)
-        )
-    return spark.createDataFrame(rows, PAIR_SCHEMA)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    files = spark.createDataFrame([(f,) for f in _files(spark, root)], "path string")  # one row for each file of the catalogue
+    place = F.regexp_extract("path", "^(.*)/([^/]*)$", 1)
+    name = F.regexp_extract("path", "^(.*)/([^/]*)$", 2)
+    kind = F.regexp_extract(name, r"^(.*)_(source[.]csv|target[.]csv|mapping[.]json)$", 2)
+    own = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("path"))))
+    folders = files.select("path", place.alias("folder"), kind.alias("kind")).where("kind <> ''").groupBy("folder").agg(
+        own("source.csv").alias("s"), own("target.csv").alias("t"), own("mapping.json").alias("m")
+    )
+    whole = folders.where((F.size("s") == 1) & (F.size("t") == 1) & (F.size("m") > 0))
+    below = F.filter(F.split(F.replace(F.concat("folder", F.lit("/")), F.lit(base), F.lit("")), "/"), lambda x: x != "")
+    stem = lambda c: F.regexp_extract(c, r"([^/]*)_(source|target)[.]csv$", 1)
+    first = F.coalesce(F.get("parts", F.lit(0)), F.lit(""))
+    return whole.select(F.explode("m").alias("mapping_json"), F.get("s", F.lit(0)).alias("source_csv"), F.get("t", F.lit(0)).alias("target_csv"), below.alias("parts")).select(
+        F.array_join("parts", "__").alias("pair_id"), first.alias("dataset"), relation_type(F.coalesce(F.get("parts", F.lit(1)), F.lit(""))).alias("relation_type"),
+        first.alias("category"), "source_csv", "target_csv", "mapping_json", stem(F.col("source_csv")).alias("source_table_name"), stem(F.col("target_csv")).alias("target_table_name"),
+    ).orderBy("mapping_json")
 
 
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.sources.catalog import normalize_name
+
 SUFFIXES = (".parquet", ".csv.gz", ".csv")
 
 
@@ -84,7 +86,7 @@ def adapt_scores(df: DataFrame) -> DataFrame:
     missing = [k for k, c in found.items() if c is None] + ["pair_id"] * ("pair_id" not in df.columns)
     if missing:
         raise ValueError(f"no columns for {', '.join(missing)}")
-    norm = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    norm = lambda c: normalize_name(F.col(c))
     return df.select(
         F.col("pair_id").cast("string").alias("pair_id"),
         norm(found["source_col_norm"]).alias("source_col_norm"),
@@ -100,7 +102,7 @@ def number_or_zero(c: Column) -> Column:
 
 def normalise_scores(df: DataFrame, source_file: str) -> DataFrame:
     """Method scores with their run, fold and method, and the file they come from."""
-    norm = lambda c: F.lower(F.trim(F.col(c).cast("string"))).alias(c)
+    norm = lambda c: normalize_name(F.col(c)).alias(c)
     return df.select(
         F.col("run_id").cast("string").alias("run_id"), F.col("fold_id").cast("int").alias("fold_id"), F.col("method").cast("string").alias("method"),
         F.col("pair_id").cast("string").alias("pair_id"), norm("source_col_norm"), norm("target_col_norm"),

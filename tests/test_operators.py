@@ -30,6 +30,7 @@ def test_catalog(spark, tmp_path):
         (two / n).write_text("{}")
     (row,) = catalog.discover_pairs(spark, str(tmp_path)).collect()
     assert (row["pair_id"], row["relation_type"]) == ("OpenData__View -Unionable__p1", "View-Unionable")
+    assert (row["source_table_name"], row["target_table_name"], row["dataset"]) == ("a", "b", "OpenData")
     (m,) = catalog.load_mapping(spark, row["mapping_json"]).collect()
     assert tuple(m) == ("source", " X ", "target", "x")
     truth = catalog.ground_truth(catalog.load_mapping(spark, row["mapping_json"]), F.lit("p")).collect()
