@@ -10,9 +10,11 @@ everything: its ``K`` smallest values are retained (all of a smaller set).
    at most ``K`` shingles: exactly; larger ones but for a chance of 5e-6 for a pair at
    the threshold). Values that a document alone has use up this prefix, so a passage
    that many documents share is no list of those whose other text is their own.
-3. A short list gives all its pairs. A long list has a hub, the member whose own lists
-   are longest; a document is paired with the ``HUBS`` first of the hubs of its long
-   lists, so a group of thousands of copies costs its size, not its square.
+3. A short list gives all its pairs. A long list has ``HUBS`` hubs: members whose values
+   are most often retained by others, as those of the text are that the others were
+   copied from; half of them the very first, half any of nearly that weight. A document
+   is paired with the first hubs of its long lists, so a group of thousands of copies
+   costs its size, not its square.
 4. The ``K`` smallest values of a pair's union, found from the two sketches, estimate
    its similarity: their share that both have. Pairs far below the threshold go.
 5. The others are compared exactly, on their full sets of shingles from the texts.
@@ -51,7 +53,7 @@ from matchloom.session import discard, materialize
 SHINGLE, PERCENT = 5, 85
 #: The stage of the pipeline links from this similarity on; ``PERCENT`` is the contract of the query.
 STAGE_PERCENT = 80
-K, SHORT_LIST, HUBS = 64, 8, 2
+K, SHORT_LIST, HUBS = 64, 8, 6
 #: So many standard deviations fewer than at the threshold may be shared of ``K`` values.
 DEVIATIONS = 5
 _NONE = np.int64(2**63 - 1)
@@ -224,12 +226,17 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
 
 
 def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """(key, id, c) of every node under the retained values of its prefix that c >= 2 nodes have there; rows beyond which a key is hot."""
+    """(key, id, w, c) of every node under the retained values of its prefix that c >= 2 nodes have there; rows beyond which a key is hot.
+
+    ``w``: how often its retained values are retained by any node.
+    """
     values = materialize(sketches.select("id", "n", F.explode("sketch").alias("e")), "retained")
     shared = with_counts(values, "e", hot_limit(values))
     own = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("x"))  # K values at most
     rare = F.greatest(prefix_length(F.col("n"), percent) - (F.least(F.col("n"), F.lit(K)) - F.size("x")), F.lit(0)).cast("int")
-    lists = materialize(own.select("id", F.explode(F.slice("x", F.lit(1), rare)).alias("v")).select("id", F.col("v.e").alias("key")), "lists")
+    weight = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v["c"]).alias("w")
+    lists = own.select("id", weight, F.explode(F.slice("x", F.lit(1), rare)).alias("v")).select("id", "w", F.col("v.e").alias("key"))
+    lists = materialize(lists, "lists")
     limit = hot_limit(lists)
     out = materialize(with_counts(lists, "key", limit), "shared-lists")
     discard(values, lists)
@@ -241,13 +248,16 @@ def node_links(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent:
     shared, limit = candidate_lists(sketches, percent)
     small = shared.where(F.col("c") <= SHORT_LIST).select("key", "id")
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a > b")
-    weight = shared.groupBy("id").agg(F.sum("c").alias("w"))
     long_ = shared.where(F.col("c") > SHORT_LIST)
-    heads = long_.join(weight, "id").groupBy("key", "c").agg(F.min(F.struct(-F.col("w"), F.col("id").alias("hub"))).alias("h"))
-    hubs = materialize(heads.select("key", "c", "h"), "hubs")
-    met = hot_join(long_, hubs, "key", limit).where("id <> h.hub")
-    best = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("h")), 1, HUBS).alias("h"))  # at most as many as its prefix is long
-    stars = best.select("id", F.explode("h.hub").alias("hub")).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+    near = F.floor(F.log(F.col("w")) * 20)  # classes of 5 %
+    heads = [
+        F.min(F.struct((-(F.col("w") if j < HUBS // 2 else near)).alias("w"), F.xxhash64("id", F.lit(j)).alias("r"), F.col("id").alias("hub"))).alias(f"h{j}")
+        for j in range(HUBS)
+    ]
+    hubs = materialize(long_.groupBy("key", "c").agg(*heads), "hubs")
+    met = hot_join(long_.select("key", "id", "c"), hubs, "key", limit)
+    first = met.groupBy("id").agg(F.array(*[F.min(f"h{j}")["hub"] for j in range(HUBS)]).alias("hubs"))
+    stars = first.select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
     first = materialize(pairs.select("a", "b").unionByName(stars).distinct(), "candidates")
     links = materialize(exact_links(first, sketches, nodes, docs, percent), "links")
     found = materialize(components(links, "first"), "components")
