@@ -13,7 +13,10 @@ one unit, then the next longest with the rest, and so on: each settles while the
 enough words in the others to make up for it, and the one left open is the shortest.
 (Paired one by one the longest would stay open to the end, and miss the target by its
 words.) What leaves leave meets in buckets of the next level, in pairs, until one
-document is left for each source and is drawn. A level shuffles (source, row, size),
+document is left for each source and is drawn. Where a source's lengths differ by orders
+of magnitude that one may still be long: the root of the tree is settled ``TRIES`` times
+from different hashes, and the outcome nearest to the target is taken (each try keeps
+every chance; the choice among them favours none but by the words it misses). A level shuffles (source, row, size),
 never texts, and is written to the shared folder. Chances come from hashes of the key:
 reruns over the same files agree, also after lost executors.
 
@@ -42,7 +45,7 @@ from matchloom.llm.columns import own, wrapped
 from matchloom.llm.spans import sized
 from matchloom.session import materialize
 
-WEIGHTS, SHARE, CAP, BUCKET_ROWS = (5, 2, 1), 1.5, 2.0, 4096
+WEIGHTS, SHARE, CAP, BUCKET_ROWS, TRIES = (5, 2, 1), 1.5, 2.0, 4096, 16
 
 
 def word_count(text: Column) -> Column:
@@ -145,15 +148,21 @@ def _bucket(seed: int, level: int, last: bool):
     """One leaf or node of the reduction tree: long documents come first, ties in the order of a hash of the key."""
 
     def reduce_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["key"].to_numpy()
-        with np.errstate(over="ignore"):
-            k = key.astype("u8") + np.uint64((seed * 1_000_003 + level * 7919) % 2**64)
-            u, draw = _uniform(k), _uniform(k ^ np.uint64(0x9E3779B97F4A7C15))
-        order = np.lexsort((pdf["rid"].to_numpy(), key, u, -pdf["size"].to_numpy()))
-        pdf, u, draw = pdf.iloc[order].reset_index(drop=True), u[order], draw[order]
+        pdf = pdf.sort_values(["size", "key", "rid"], ascending=[False, True, True]).reset_index(drop=True)
         size = pdf["size"].to_numpy().astype(float)
         p = np.where(size > 0, pdf["p"].to_numpy(), 0.0)
-        return pdf.assign(p=settle(size, p, u, draw if last else None))
+        best, missed = p, np.inf
+        for attempt in range(TRIES if last else 1):
+            with np.errstate(over="ignore"):
+                k = pdf["key"].to_numpy().astype("u8") + np.uint64((seed * 1_000_003 + level * 7919 + attempt * 104_729) % 2**64)
+                u, draw = _uniform(k), _uniform(k ^ np.uint64(0x9E3779B97F4A7C15))
+            order = np.lexsort((u, -size))
+            out = np.empty(len(p))
+            out[order] = settle(size[order], p[order], u[order], draw[order] if last else None)
+            error = abs(float(((out - p) * size).sum()))
+            if error < missed:
+                best, missed = out, error
+        return pdf.assign(p=best)
 
     return reduce_bucket
 
