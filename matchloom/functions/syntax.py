@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, deque
 
 import pandas as pd
 from pyspark.sql import Column
@@ -118,13 +118,17 @@ def jaro(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
+    places: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, deque()).append(j)
     taken, left = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                left.append(c)
-                break
+    for i, c in enumerate(a):  # the window moves on, so a letter's first free place in it is the head of its queue
+        free = places.get(c)
+        while free and free[0] < i - reach:
+            free.popleft()
+        if free and free[0] <= i + reach:
+            taken[free.popleft()] = True
+            left.append(c)
     if not left:
         return 0.0
     right = [c for c, t in zip(b, taken, strict=True) if t]

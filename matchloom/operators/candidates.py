@@ -23,7 +23,7 @@ CONTEXT = (
     "source_col_norm", "target_col_norm", "label",
 )
 #: Source columns of one pair in one task.
-PART_COLUMNS = 64
+PART_COLUMNS = 8
 ALL_FEATURES = (*SYNTAX_FEATURES, *CLASSICAL_FEATURES, *matrices.SPECTRAL_FEATURES, *topology.TOPOLOGICAL_FEATURES)
 
 
@@ -61,13 +61,16 @@ def candidate_pairs(source: DataFrame, target: DataFrame, part_columns: int = PA
 
     Both sides are (pair_id, column, norm, text, ...). A pair's source columns are dealt to
     parts of about ``part_columns``, and its target columns repeated for each part, so a
-    pair with very many columns is met by many tasks.
+    pair with very many columns is met by many tasks. A candidate is few bytes and much
+    work, so partitions keep their number and are not merged by their size.
     """
     rename = lambda df, k: df.select("pair_id", *[F.col(c).alias(f"{k}_{c}") for c in df.columns if c != "pair_id"])
     parts = source.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / part_columns).cast("int").alias("parts"))
     left = rename(source, "source").join(parts, "pair_id").withColumn("part", F.pmod(F.xxhash64("source_column"), F.col("parts")).cast("int"))
     right = rename(target, "target").join(parts, "pair_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return left.drop("parts").join(right.drop("parts"), ["pair_id", "part"]).drop("part")
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.drop("parts").repartition(n, "pair_id", "part")
+    return dealt(left).join(dealt(right), ["pair_id", "part"]).drop("part")
 
 
 def label(candidates: DataFrame, truth: DataFrame) -> DataFrame:
@@ -138,7 +141,7 @@ def with_features(candidates: DataFrame, names: list[str], maxdim: int = 2) -> D
         x, y = vectors.doubles(F.col("source_vec")), vectors.doubles(F.col("target_vec"))
         made = classical_native(x, y)
         out = out.withColumns({n: made[n] for n in cls})
-    both = (F.size("source_tok") > 0) & (F.size("target_tok") > 0)
+    both = enc.has_rows(F.col("source_tok")) & enc.has_rows(F.col("target_tok"))
     spc = want & set(matrices.SPECTRAL_FEATURES)
     if spc:
         own = {f"spc_{k}_{n}": F.when(both, F.get(f"{side}_spc", F.lit(i))) for side, k in (("source", "src"), ("target", "tgt")) for i, n in enumerate(matrices.SPECTRAL_STATS)}

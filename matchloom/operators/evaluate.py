@@ -63,9 +63,12 @@ def best_threshold(df: DataFrame, steps: int = 1000) -> DataFrame:
     )
 
 
-def pr_curve(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, threshold, precision, recall, rank) for each distinct score, predicting score >= threshold."""
-    by = df.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
+def pr_curve(df: DataFrame, keys: list[str], counted: bool = False) -> DataFrame:
+    """(keys, threshold, precision, recall, rank) for each distinct score, predicting score >= threshold.
+
+    ``df`` has rows (label, score), or, ``counted``, distinct scores with ``pos`` and ``n``.
+    """
+    by = df if counted else df.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"))
     whole = Window.partitionBy(*keys)
     up = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -75,13 +78,13 @@ def pr_curve(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def pr_threshold(df: DataFrame, keys: list[str], mode: str = "aligned") -> DataFrame:
+def pr_threshold(df: DataFrame, keys: list[str], mode: str = "aligned", counted: bool = False) -> DataFrame:
     """The threshold of the best F1 for each key.
 
     ``aligned`` takes the score whose own precision and recall are best; ``faithful``
     pairs each point with the threshold one step below, as the published protocol did.
     """
-    curve = pr_curve(df, keys).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    curve = pr_curve(df, keys, counted).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     if mode == "faithful":
         lower = F.lead("threshold").over(Window.partitionBy(*keys).orderBy("rank"))
         curve = curve.withColumn("threshold", lower).where("threshold is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import RobustScaler, VectorAssembler
@@ -10,7 +12,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.operators.evaluate import best_threshold, pair_metrics
+from matchloom.operators.evaluate import best_threshold, global_metrics, pair_metrics
+from matchloom.session import discard, materialize
 
 
 def build_model(kind: str, features: list[str], trees: int = 350, depth: int = 30, seed: int = 42, scale: bool = True) -> Pipeline:
@@ -54,6 +57,61 @@ def evaluate(train: DataFrame, test: DataFrame, features: list[str], kind: str =
     return pair_metrics(scored.withColumn("pred", (F.col("score") > F.col("threshold")).cast("int"))), chosen
 
 
+def evaluate_folds(
+    rows: DataFrame, folds: DataFrame, configurations: dict[str, list[str]], seeds: tuple[int, ...] = (42,), **how
+) -> tuple[DataFrame, DataFrame]:
+    """(fold rows, pair rows) of every configuration, seed and fold.
+
+    ``folds`` (fold_id, pair_id, role) deals ``rows`` (pair_id, label, features). A fold
+    row has the threshold that is best on the fold's train rows, its mean F1 there, the
+    seconds of fitting, of scoring both sides, and the metrics of the test rows; a pair
+    row has the metrics of one test pair. The loop is over models; all rows stay in Spark.
+    """
+    spark = rows.sparkSession
+    dealt = materialize(rows.join(folds, "pair_id"), "dealt-rows")
+    numbers = [r[0] for r in folds.select("fold_id").distinct().orderBy("fold_id").collect()]  # a few
+    made, pairs = [], None
+    for run_id, seed in enumerate(seeds, 1):
+        for name, features in configurations.items():
+            for k in numbers:
+                train, test = (dealt.where((F.col("fold_id") == k) & (F.col("role") == role)) for role in ("train", "test"))
+                start = time.perf_counter()
+                model = build_model("rf", features, seed=seed + k, scale=False, **how).fit(balanced(train))
+                fitted = time.perf_counter()
+                known = materialize(score(model, train).select("pair_id", "label", "score"), "train-scores")
+                scored = time.perf_counter()
+                found = materialize(score(model, test).select("pair_id", "label", "score"), "test-scores")
+                done = time.perf_counter()
+                threshold, best = best_threshold(known).first()
+                pred = found.withColumn("pred", (F.col("score") > threshold).cast("int"))
+                metrics = global_metrics(pred).first()
+                made.append((run_id, seed, name, k, len(features), threshold, best, fitted - start, scored - fitted, done - scored, metrics["precision"], metrics["recall"], metrics["f1"], " | ".join(features)))
+                one = pair_metrics(pred).select(F.lit(run_id).alias("run_id"), F.lit(name).alias("config"), F.lit(k).alias("fold_id"), "*", F.lit(len(features)).alias("n_features"))
+                pairs = one if pairs is None else pairs.unionByName(one)
+                discard(known)
+    fold_rows = spark.createDataFrame(
+        made,
+        "run_id int, seed int, config string, fold_id int, n_features int, threshold_opt_train double, train_mean_f1_pair_at_threshold double, "
+        "fit_sec double, train_score_sec double, predict_sec double, precision double, recall double, f1 double, features string",
+    )
+    return fold_rows, materialize(pairs, "pair-rows")
+
+
+def summarize_folds(pairs: DataFrame, folds: DataFrame) -> DataFrame:
+    """Of each configuration: mean and sample deviation of the pair metrics, pairs, features, mean seconds of a fold."""
+    out = [f(m).alias(f"{k}_{m}") for m in ("f1", "precision", "recall") for k, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    of_pairs = pairs.groupBy("config").agg(*out, F.countDistinct("pair_id").alias("n_pair_id"), F.first("n_features").alias("n_features"))
+    seconds = [F.avg(c).alias(f"mean_{c}") for c in ("fit_sec", "train_score_sec", "predict_sec")]
+    return of_pairs.join(folds.groupBy("config").agg(*seconds), "config")
+
+
+def summarize_seeds(pairs: DataFrame) -> DataFrame:
+    """Repeated seeds: the mean F1 of each run first, then mean, sample deviation and number of the runs."""
+    by_run = pairs.groupBy("config", "run_id").agg(*[F.avg(m).alias(m) for m in ("f1", "precision", "recall")])
+    out = [f(m).alias(f"{k}_{m}") for m in ("f1", "precision", "recall") for k, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return by_run.groupBy("config").agg(*out, F.count(F.lit(1)).alias("n_runs"))
+
+
 def mutual_information(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """(feature, mi) of equal-width bins with the label, in nats; all features in one pass."""
     ends = df.agg(*[f(F.col(c)).alias(f"{k}_{i}") for i, c in enumerate(features) for k, f in (("lo", F.min), ("hi", F.max))]).first()

@@ -88,6 +88,16 @@ def wilcoxon(deltas: np.ndarray, alternative: str = "two-sided") -> float:
     return float(upper if alternative == "greater" else min(1.0, 2 * min(upper, 1 - upper)))
 
 
+def wilcoxon_column(deltas: Column) -> Column:
+    """Of an array of deltas: one number for each pair that two methods share."""
+
+    @F.pandas_udf("double")
+    def p(d: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon(np.asarray(x, float)) for x in d])
+
+    return p(deltas)
+
+
 def wilcoxon_by_pair_of_methods(df: DataFrame, metric: str, alternative: str = "two-sided") -> DataFrame:
     """(a, b, wilcoxon_p). A group holds one number for each pair_id two methods share."""
 

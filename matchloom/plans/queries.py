@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import encoder, matrices, syntax, topology, vectors
-from matchloom.operators import candidates, evaluate, model, profile, report, splits, stats
+from matchloom.operators import candidates, evaluate, model, profile, protocol, report, splits, stats
+from matchloom.session import materialize
 from matchloom.sources import catalog, tables
 
 QUERIES: dict = {}
@@ -115,11 +116,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["flagship"] = flagship
 
 
-def entities(spark, sf_dir, table: str, pair_id: str) -> DataFrame:
-    """The encoded columns of a table: (column, norm, text, vec, tok), tok of at most the encoder's 64 words."""
-    texts = profile.column_texts(t(spark, sf_dir, table)).withColumn("pair_id", F.lit(pair_id))
-    # Few rows and much work on each: a task for each column.
-    return encoder.encode(texts.repartition(16, "column"), "text")
+def entities(spark, sf_dir, tables_: str | tuple[str, ...], pair_id: str, maxdim: int | None = None) -> DataFrame:
+    """The encoded columns of tables: (table, column, norm, text, vec, tok), tok of at most the encoder's 64 words.
+
+    Written once: pairs, labels and every feature family read them. With ``maxdim`` they
+    have their spectral statistics and diagrams.
+    """
+    texts = None
+    for n in (tables_,) if isinstance(tables_, str) else tables_:
+        one = profile.column_texts(t(spark, sf_dir, n)).withColumns({"pair_id": F.lit(pair_id), "table": F.lit(n)})
+        texts = one if texts is None else texts.unionByName(one)
+    # Few rows and much work on each: a fixed number of tasks, not merged by size.
+    encoded = encoder.encode(texts.repartition(16, "table", "column"), "text")
+    return materialize(encoded if maxdim is None else candidates.with_entity_features(encoded, maxdim), "entities")
 
 
 @query("candidate_features_reduced")
@@ -130,10 +139,26 @@ def candidate_features_reduced(spark, sf_dir):
     return made.select("pair_id", "source_column", "target_column", "label", *candidates.REDUCED_FEATURES)
 
 
+_WIDE = (("customer", "orders", "lineitem", "part"), ("supplier", "nation", "region", "events", "documents", "pages", "benchmark", "labels", "conversations"))
+
+
+def wide_candidates(spark, sf_dir, maxdim: int | None = None) -> DataFrame:
+    """A pair of many columns: those of four tables against those of nine."""
+    pairs = candidates.candidate_pairs(*(entities(spark, sf_dir, tables_, "wide", maxdim) for tables_ in _WIDE), part_columns=2)
+    return candidates.label(pairs, suffix_truth(pairs))
+
+
+@query("candidate_features_wide")
+def candidate_features_wide(spark, sf_dir):
+    """The ten selected features of a pair with some 700 candidates."""
+    made = candidates.with_features(wide_candidates(spark, sf_dir), list(candidates.REDUCED_FEATURES))
+    return report.round_numeric(made.select("source_table", "source_column", "target_table", "target_column", "label", *candidates.REDUCED_FEATURES), 6)
+
+
 @query("candidate_features_full")
 def candidate_features_full(spark, sf_dir):
     """All 79 features of nation x region, with homology up to dimension 2."""
-    side = lambda n: candidates.with_entity_features(entities(spark, sf_dir, n, "nation__region"))
+    side = lambda n: entities(spark, sf_dir, n, "nation__region", 2)
     pairs = candidates.candidate_pairs(side("nation"), side("region"))
     made = candidates.with_features(candidates.label(pairs, suffix_truth(pairs)), list(candidates.ALL_FEATURES))
     return made.select("pair_id", "source_column", "target_column", "label", *candidates.ALL_FEATURES)
@@ -217,6 +242,15 @@ query(
     {", ".join(f"{c}{n} AS (SELECT k, g, count(*) AS n FROM (SELECT k, unnest({_G.format('x' if c == 'a' else 'y', n)}) AS g FROM s) GROUP BY ALL)" for c in "ab" for n in (2, 3))}
     SELECT p.k, syn_cosine_bigrams, syn_cosine_trigrams FROM ({_COS.format(n=2, name="syn_cosine_bigrams")}) p JOIN ({_COS.format(n=3, name="syn_cosine_trigrams")}) q ON p.k = q.k""",
 )(_native(["syn_cosine_bigrams", "syn_cosine_trigrams"]))
+_BI = {c: _G.format(c, 2) for c in "xy"}
+ORACLES["flagship"] = f"""WITH p AS (SELECT pair_id, source_column, target_column, trim(regexp_replace(lower(source_column), '[^0-9a-z]+', ' ', 'g')) AS x,
+  trim(regexp_replace(lower(target_column), '[^0-9a-z]+', ' ', 'g')) AS y FROM ({_PAIRS_SQL})),
+s AS (SELECT *, string_split(x, ' ') AS tx, string_split(y, ' ') AS ty, {_BI['x']} AS gx, {_BI['y']} AS gy FROM p),
+r AS (SELECT pair_id, CAST(substr(source_column, 3) = substr(target_column, 3) AS INTEGER) AS label, CAST((1 - levenshtein(x, y) / {_LONGEST}
+    + len(list_intersect(tx, ty)) / len(list_distinct(list_concat(tx, ty))) + coalesce(len(list_intersect(gx, gy)) / nullif(len(list_distinct(list_concat(gx, gy))), 0), 1)
+    + {_PREFIX.format('reverse(x)', 'reverse(y)')} / {_LONGEST} + 2 * len(list_intersect(tx, ty)) / (len(list_distinct(tx)) + len(list_distinct(ty)))) / 5 > 0.5 AS INTEGER) AS pred FROM s),
+n AS (SELECT pair_id, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred = 0) AS fn FROM r GROUP BY pair_id)
+SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM n"""
 _JW = "j + 0.1 * len(list_filter(range(1, least(length(x), length(y), 4) + 1), lambda i: left(x, i) = left(y, i))) * (1 - j)"
 query("syn_jaro", f"SELECT k, round(CASE WHEN x = '' AND y = '' THEN 1.0 ELSE jaro_similarity(x, y) END, 6) AS syn_jaro FROM ({_NORM})")(_arrow(["syn_jaro"]))
 query(
@@ -236,7 +270,10 @@ def syn_all_conversations(spark, sf_dir):
     return both.withColumn("f", f).select("conv_id", "turn", *[r6(F.col("f")[x]).alias(x) for x in syntax.SYNTAX_FEATURES])
 
 
-@query("text_normalize")
+@query(
+    "text_normalize",
+    """SELECT conv_id, turn, trim(regexp_replace(lower(trim(strip_accents(text))), '[^0-9a-z]+', ' ', 'g')) AS norm, strip_accents(text) AS plain FROM conversations""",
+)
 def text_normalize(spark, sf_dir):
     c = t(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", syntax.normalize_text(F.col("text")).alias("norm"), syntax.strip_accents_text(F.col("text")).alias("plain"))
@@ -436,10 +473,8 @@ def tda_h1(spark, sf_dir):
 @query("tda_h2")
 def tda_h2(spark, sf_dir):
     """Of the token matrices of all columns of customer, supplier, nation and region."""
-    e = entities(spark, sf_dir, "customer", "customer")
-    for n in ("supplier", "nation", "region"):
-        e = e.unionByName(entities(spark, sf_dir, n, n))
-    made = e.select(F.col("pair_id").alias("table"), "column", _diagram_stats(2)("tok").alias("s"))
+    e = entities(spark, sf_dir, ("customer", "supplier", "nation", "region"), "all")
+    made = e.repartition(16, "table", "column").select("table", "column", _diagram_stats(2)("tok").alias("s"))
     return made.select("table", "column", *[r6(F.col("s")[n]).alias(n) for n in _diagram_names(2)])
 
 
@@ -449,7 +484,7 @@ _DIST = ("tda_h0_bottleneck", "tda_h1_bottleneck", "tda_h0_wasserstein", "tda_h1
 @query("tda_diagram_distances")
 def tda_diagram_distances(spark, sf_dir):
     """Between the diagrams of all columns of customer and of supplier, made once for each column."""
-    side = lambda n: candidates.with_entity_features(entities(spark, sf_dir, n, "customer__supplier"), 1)
+    side = lambda n: entities(spark, sf_dir, n, "customer__supplier", 1)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in _DIST))
     def distances(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -600,7 +635,12 @@ def split_70_30(spark, sf_dir):
     return splits.one_split(strata(spark, sf_dir), 42)
 
 
-@query("repeated_splits")
+_SPLITS = """SELECT fold_id, pair_id, CASE WHEN row_number() OVER (PARTITION BY fold_id, stratum ORDER BY md5((42 + fold_id) || '/' || pair_id), pair_id)
+  <= round(count(*) OVER (PARTITION BY fold_id, stratum) * 0.3) THEN 'test' ELSE 'train' END AS role FROM (SELECT DISTINCT pair_id, stratum FROM ({src})), (SELECT unnest(range(0, 5)) AS fold_id)"""
+
+
+# The SQL takes the first five seeds, each of which tests a new pair on these tables.
+@query("repeated_splits", _SPLITS.format(src=_STRATA))
 def repeated_splits(spark, sf_dir):
     return splits.repeated_splits(strata(spark, sf_dir))
 
@@ -622,7 +662,13 @@ def leakage_antijoin(spark, sf_dir):
     return splits.filter_leakage(r.where("role = 'train'").drop("role"), r.where("role = 'test'"), ["pair_id", "key"])
 
 
-@query("materialize_folds")
+@query(
+    "materialize_folds",
+    f"""WITH f AS ({_SPLITS.format(src="SELECT source AS pair_id, 'all' AS stratum FROM documents")}), d AS (SELECT s.doc_id, s.pair_id, s.label, s.doc_id % 11 AS key, fold_id, role FROM ({_SCORED}) s JOIN f ON s.pair_id = f.pair_id),
+    k AS (SELECT * FROM d WHERE role = 'test' OR label <> 1 OR NOT EXISTS (SELECT 1 FROM d t WHERE t.role = 'test' AND t.label = 1 AND t.fold_id = d.fold_id AND t.key = d.key))
+    SELECT fold_id, count(*) FILTER (role = 'train') AS n_train_rows, count(*) FILTER (role = 'test') AS n_test_rows,
+      count(DISTINCT pair_id) FILTER (role = 'train') AS n_train_pairs, count(DISTINCT pair_id) FILTER (role = 'test') AS n_test_pairs FROM k GROUP BY fold_id""",
+)
 def materialize_folds(spark, sf_dir):
     from matchloom.session import shared_folder
 
@@ -665,12 +711,30 @@ def winrate_matrix(spark, sf_dir):
     return report.round_numeric(stats.winrate_matrix(methods(spark, sf_dir), "f1", list(_TYPES)), 4)
 
 
-@query("against_best", f"{_WIN}, best AS (SELECT method FROM m WHERE method LIKE 'c%' OR method LIKE 'e%' GROUP BY method ORDER BY avg(f1) DESC LIMIT 1) SELECT a, b, wins, ties, losses FROM w WHERE a = 'click'")
+def _matrix_query(value: str):
+    name = {"support": "winrate_support_matrix", "ties": "winrate_ties_matrix"}[value]
+    columns = ", ".join(f"coalesce(max({value}) FILTER (b = '{c}'), 0) AS {c}" for c in _TYPES)
+
+    @query(name, f"{_WIN} SELECT a AS method, {columns} FROM w GROUP BY a")
+    def run(spark, sf_dir):
+        return stats.winrate_matrix(methods(spark, sf_dir), "f1", list(_TYPES), value).na.fill(0)
+
+
+_matrix_query("support")
+_matrix_query("ties")
+
+
+@query("against_best", f"{_WIN}, best AS (SELECT method FROM m GROUP BY method ORDER BY avg(f1) DESC, method DESC LIMIT 1) SELECT a, b, wins, ties, losses FROM w JOIN best ON a = method")
 def against_best(spark, sf_dir):
-    return stats.against_best(methods(spark, sf_dir), "f1", "click").select("a", "b", "wins", "ties", "losses")
+    """Of all methods: every name starts with the empty prefix."""
+    return stats.against_best(methods(spark, sf_dir), "f1", "").select("a", "b", "wins", "ties", "losses")
 
 
-@query("sign_test")
+_SIGN = """CASE WHEN wins + losses = 0 THEN 'nan'::DOUBLE ELSE round(least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1),
+  lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))), 9) END"""
+
+
+@query("sign_test", f"{_WIN} SELECT a, b, wins, losses, {_SIGN} AS sign_p FROM w")
 def sign_test(spark, sf_dir):
     w = stats.winrates(methods(spark, sf_dir), "f1").select("a", "b", "wins", "losses")
     return w.withColumn("sign_p", F.round(stats.sign_test_column(F.col("wins"), F.col("losses")), 9))
@@ -690,6 +754,121 @@ def holm(spark, sf_dir):
     return stats.holm(w, "p", ["a"], ["b"]).select("a", "b", "p", r6("holm_p").alias("holm_p"))
 
 
+# The comparison protocol: saved scores of three methods over three folds of the labelled documents
+
+
+def saved_scores(spark, sf_dir) -> DataFrame:
+    d = t(spark, sf_dir, "documents")
+    score = lambda k: F.round((F.col("n_chars") % k) / float(k), 3)
+    runs = F.array(
+        *[F.struct(F.lit(r).alias("run_id"), F.lit(m).alias("method"), score(k).alias("score")) for r, m, k in (("1", "meta_space_a", 1000), ("1", "meta_space_b", 777), ("1", "plain", 333), ("2", "late", 100))]
+    )
+    return d.select(
+        (F.col("doc_id") % 3).cast("int").alias("fold_id"), F.col("source").alias("pair_id"), F.concat(F.lit(" S"), F.col("doc_id")).alias("source_col_norm"),
+        F.lit("T").alias("target_col_norm"), F.explode(runs).alias("r"),
+    ).select("fold_id", "pair_id", "source_col_norm", "target_col_norm", "r.*")
+
+
+def saved_labels(spark, sf_dir) -> DataFrame:
+    s = scored(spark, sf_dir)
+    return s.select(
+        (F.col("doc_id") % 3).cast("int").alias("fold_id"), "pair_id", F.concat(F.lit("s"), F.col("doc_id")).alias("source_col_norm"), F.lit("t").alias("target_col_norm"), "label"
+    )
+
+
+def labelled_scores(spark, sf_dir) -> DataFrame:
+    return protocol.labelled_scores(tables.normalise_scores(saved_scores(spark, sf_dir), "documents"), saved_labels(spark, sf_dir))
+
+
+_LABELLED = """SELECT CAST(doc_id % 3 AS INTEGER) AS fold_id, source AS pair_id, 's' || doc_id AS source_col_norm, quality AS label, run_id, method, round((n_chars % k) / k, 3) AS score
+  FROM documents JOIN labels USING (doc_id), (VALUES ('1', 'meta_space_a', 1000.0::DOUBLE), ('1', 'meta_space_b', 777.0), ('1', 'plain', 333.0), ('2', 'late', 100.0)) AS v(run_id, method, k)"""
+_PROTOCOL = f"""WITH d AS ({_LABELLED}), f AS (SELECT DISTINCT run_id, method, fold_id AS held FROM d),
+c AS (SELECT run_id, method, held, score, sum(label) AS pos, count(*) AS n FROM d JOIN f USING (run_id, method) WHERE held <> fold_id GROUP BY ALL),
+u AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS k, sum(pos) OVER (PARTITION BY run_id, method, held) AS total, lead(score) OVER (PARTITION BY run_id, method, held ORDER BY score DESC) AS lower
+  FROM c WINDOW w AS (PARTITION BY run_id, method, held ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+th AS (SELECT run_id, method, held AS fold_id, lower AS threshold FROM u WHERE lower IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY run_id, method, held ORDER BY round(coalesce(2 * (tp / k) * (tp / total) / nullif(tp / k + tp / total, 0), 0), 12) DESC, lower) = 1),
+p AS (SELECT d.*, threshold, CAST(score >= threshold AS INTEGER) AS pred_opt_train,
+  CAST(row_number() OVER (PARTITION BY d.run_id, d.method, d.fold_id, pair_id ORDER BY score DESC, source_col_norm) <= sum(label) OVER (PARTITION BY d.run_id, d.method, d.fold_id, pair_id) AS INTEGER) AS pred_ground_size
+  FROM d JOIN th USING (run_id, method, fold_id)),
+"""
+_PRF_OF = ", ".join(
+    f"round(coalesce(sum(label * pred_{p}) / nullif(sum(pred_{p}), 0), 0), 6) AS precision_{p}, round(coalesce(sum(label * pred_{p}) / nullif(sum(label), 0), 0), 6) AS recall_{p}, "
+    f"round(coalesce(2 * sum(label * pred_{p}) / nullif(sum(pred_{p}) + sum(label), 0), 0), 6) AS f1_{p}"
+    for p in protocol.PREDICTIONS
+)
+_COUNTED = "round(threshold, 6) AS threshold, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positive"
+_PAIR_ROWS = f"{_PROTOCOL} pm AS (SELECT run_id, method, fold_id, pair_id, {_COUNTED}, {_PRF_OF} FROM p GROUP BY run_id, method, fold_id, pair_id, threshold)"
+
+
+@query("scores_join_labels", f"SELECT fold_id, pair_id, source_col_norm, run_id, method, score, label FROM ({_LABELLED})")
+def scores_join_labels(spark, sf_dir):
+    return labelled_scores(spark, sf_dir).select("fold_id", "pair_id", "source_col_norm", "run_id", "method", "score", "label")
+
+
+@query("score_fold_metrics", f"{_PROTOCOL} x AS (SELECT 1) SELECT run_id, method, fold_id, {_COUNTED}, count(DISTINCT pair_id) AS n_pair_id, {_PRF_OF} FROM p GROUP BY run_id, method, fold_id, threshold")
+def score_fold_metrics(spark, sf_dir):
+    return report.round_numeric(protocol.fold_metrics(protocol.predictions(labelled_scores(spark, sf_dir))), 6)
+
+
+def score_pairs(spark, sf_dir) -> DataFrame:
+    return report.round_numeric(protocol.pair_metrics(protocol.predictions(labelled_scores(spark, sf_dir))), 6)
+
+
+query("score_pair_metrics", f"{_PAIR_ROWS} SELECT * FROM pm")(score_pairs)
+
+
+@query(
+    "score_method_summary",
+    f"{_PAIR_ROWS} SELECT method, "
+    + ", ".join(f"round(avg({m}_{p}), 5) AS mean_{m}_{p}" for p in protocol.PREDICTIONS for m in ("f1", "precision", "recall"))
+    + ", " + ", ".join(f"round(stddev_samp(f1_{p}), 5) AS std_f1_{p}" for p in protocol.PREDICTIONS)
+    + ", count(DISTINCT pair_id) AS n_pair_id, count(DISTINCT run_id) AS n_runs FROM pm GROUP BY method",
+)
+def score_method_summary(spark, sf_dir):
+    return report.round_numeric(protocol.summarize_methods(score_pairs(spark, sf_dir)), 5)
+
+
+@query(
+    "score_against_best",
+    f"""{_PAIR_ROWS}, b AS (SELECT method AS best FROM pm WHERE method LIKE 'meta~_space~_%' ESCAPE '~' GROUP BY method ORDER BY avg(f1_opt_train) DESC, method DESC LIMIT 1),
+    e AS (SELECT best, o.method, o.pair_id, x.f1_opt_train - o.f1_opt_train AS d, 'run_id+pair_id' AS paired_on FROM pm x JOIN b ON x.method = best JOIN pm o ON o.run_id = x.run_id AND o.pair_id = x.pair_id AND o.method <> best),
+    g AS (SELECT best, o.method, pair_id, x.v - o.v AS d, 'pair_id_mean_over_runs' AS paired_on FROM (SELECT best, pair_id, avg(f1_opt_train) AS v FROM pm JOIN b ON method = best GROUP BY ALL) x
+      JOIN (SELECT method, pair_id, avg(f1_opt_train) AS v FROM pm, b WHERE method <> best AND method NOT IN (SELECT method FROM e) GROUP BY ALL) o USING (pair_id)),
+    w AS (SELECT best, method, paired_on, count(*) AS n_pairs_runs, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses, round(avg(d), 5) AS mean_delta FROM (FROM e UNION ALL FROM g) GROUP BY ALL)
+    SELECT *, round((wins + 0.5 * ties) / n_pairs_runs, 5) AS winrate_half_ties, {_SIGN.replace(", 9)", ", 5)")} AS sign_test_pvalue FROM w""",
+)
+def score_against_best(spark, sf_dir):
+    made = protocol.against_best(score_pairs(spark, sf_dir), "f1_opt_train", "meta_space_")
+    return report.round_numeric(made.drop("median_delta", "wilcoxon_pvalue"), 5)
+
+
+@query(
+    "f1_distribution",
+    f"{_PAIR_ROWS} SELECT method, pair_id, round(max(f1_opt_train), 2) AS f1 FROM pm WHERE method IN ('plain', 'meta_space_b', 'late') GROUP BY method, pair_id",
+)
+def f1_distribution(spark, sf_dir):
+    """The best F1 of each method and pair, in a fixed order of methods."""
+    one = protocol.first_of_each(score_pairs(spark, sf_dir).select("method", "pair_id", F.col("f1_opt_train").alias("f1")), ["method", "pair_id"], "f1")
+    return report.round_numeric(protocol.ordered(one, "method", ["plain", "meta_space_b", "late"], "method", "pair_id"), 2)
+
+
+@query(
+    "classifier_table",
+    f"{_PAIR_ROWS} SELECT method AS classifier, "
+    + ", ".join(f"round(avg({m}_opt_train), 2) AS mean_{m}, round(stddev_samp({m}_opt_train), 2) AS std_{m}, printf('%.2f +/- %.2f', avg({m}_opt_train), stddev_samp({m}_opt_train)) AS {m}_pm_std" for m in ("f1", "precision", "recall"))
+    + ", count(DISTINCT pair_id) AS n_pair_id FROM pm GROUP BY method",
+)
+def classifier_table(spark, sf_dir):
+    pairs = score_pairs(spark, sf_dir).withColumnsRenamed({f"{m}_opt_train": m for m in ("f1", "precision", "recall")})
+    s = report.summarize(pairs, ["method"], ["f1", "precision", "recall"])
+    out = [F.col("method").alias("classifier")]
+    for m in ("f1", "precision", "recall"):
+        mean, std = F.col(f"{m}_mean"), F.col(f"{m}_std")
+        out += [F.round(mean, 2).alias(f"mean_{m}"), F.round(std, 2).alias(f"std_{m}"), F.format_string("%.2f +/- %.2f", mean, std).alias(f"{m}_pm_std")]
+    return s.select(*out, "n_pair_id")
+
+
 # Reports
 
 _SUM = "round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_std, round(median(f1), 6) AS f1_median"
@@ -822,7 +1001,7 @@ def _learned(kind):
     def run(spark, sf_dir):
         rows = document_features(spark, sf_dir)
         test = F.col("doc_id") % 3 == 0
-        made = model.train_and_predict(rows.where(~test), rows.where(test), _FEATURES, kind, trees=20, depth=8)
+        made = model.train_and_predict(rows.where(~test), rows.where(test), _FEATURES, kind)
         return made.select("doc_id", "label", F.round("score", 4).alias("score"))
 
     return run
@@ -836,7 +1015,37 @@ query("logreg_score")(_learned("logreg"))
 def rf_evaluate(spark, sf_dir):
     rows = document_features(spark, sf_dir)
     test = F.col("doc_id") % 3 == 0
-    return report.round_numeric(model.evaluate(rows.where(~test), rows.where(test), _FEATURES, trees=20, depth=8, scale=False)[0], 6)
+    return report.round_numeric(model.evaluate(rows.where(~test), rows.where(test), _FEATURES, scale=False)[0], 6)
+
+
+_CONFIGURATIONS = {"all": _FEATURES, "sizes": ["n_chars", "n_words", "n_lines"]}
+
+
+def learned_folds(spark, sf_dir, seeds=(42,)):
+    """Forests of the default size over three folds of the sources, two configurations."""
+    rows = document_features(spark, sf_dir)
+    pairs = rows.select("pair_id").distinct().withColumn("stratum", F.lit("all"))
+    return model.evaluate_folds(rows, splits.repeated_splits(pairs, 3), _CONFIGURATIONS, seeds)
+
+
+_RF_FOLD = ["run_id", "seed", "config", "fold_id", "n_features", "threshold_opt_train", "train_mean_f1_pair_at_threshold", "precision", "recall", "f1", "features"]
+
+
+@query("rf_folds")
+def rf_folds(spark, sf_dir):
+    """Fold rows; the seconds, which differ from run to run, stay out of the query's result."""
+    return report.round_numeric(learned_folds(spark, sf_dir)[0].select(*_RF_FOLD), 6)
+
+
+@query("rf_ablation_summary")
+def rf_ablation_summary(spark, sf_dir):
+    folds, pairs = learned_folds(spark, sf_dir)
+    return report.round_numeric(model.summarize_folds(pairs, folds).drop("mean_fit_sec", "mean_train_score_sec", "mean_predict_sec"), 6)
+
+
+@query("rf_repeated_seeds")
+def rf_repeated_seeds(spark, sf_dir):
+    return report.round_numeric(model.summarize_seeds(learned_folds(spark, sf_dir, (42, 43))[1]), 6)
 
 
 _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -870,7 +1079,7 @@ def mutual_information(spark, sf_dir):
 
 @query("feature_selection")
 def feature_selection(spark, sf_dir):
-    chosen = model.select_features(document_features(spark, sf_dir), _FEATURES, k=3, trees=10)
+    chosen = model.select_features(document_features(spark, sf_dir), _FEATURES, k=3)
     return spark.createDataFrame(list(enumerate(chosen, 1)), "rank int, feature string")
 
 
