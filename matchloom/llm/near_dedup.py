@@ -324,3 +324,24 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"))
     return rows.join(sized(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")
+
+
+#: Every pair of documents that share a shingle, and the closure of the links: for small tables.
+SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, y FROM r JOIN l ON x = seen
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept FROM n JOIN r USING (doc_id) GROUP BY doc_id, n
+"""

@@ -27,6 +27,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op6_near_dedup": near_dedup.SQL,
     "op8_quality_rules": quality.SQL,
     "op10_decontamination": decontamination.SQL,
 }

@@ -363,3 +363,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return remove_spans(docs, repeated_spans(docs)).drop("kept")
+
+
+#: A row for each window: for small tables. Bytes are pairs of hexadecimal digits.
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS g FROM (SELECT r, h, unnest(range(0, CAST(length(h) / 2 - {LENGTH - 1} AS BIGINT))) AS i FROM d WHERE length(h) >= {2 * LENGTH})
+), f AS (
+  SELECT r, i FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)
+), m AS (
+  SELECT r, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM f)
+), s AS (
+  SELECT r, k, min(i) AS a, max(i) + {LENGTH} AS z FROM m GROUP BY r, k
+), t AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed FROM s GROUP BY r
+), kept AS (
+  SELECT r, a, substr(h, 2 * coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0))) AS part
+  FROM (SELECT r, a, z FROM s UNION ALL SELECT r, CAST(length(h) / 2 AS BIGINT), NULL FROM d) JOIN d USING (r)
+), whole AS (
+  SELECT r, string_agg(part, '' ORDER BY a) AS h FROM kept GROUP BY r
+)
+SELECT doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(whole.h)) AS kept_sha256
+FROM d JOIN whole USING (r) LEFT JOIN t USING (r)
+"""
