@@ -54,7 +54,7 @@ FREQUENT = 1 << 19
 BITS_PER_ENTRY, PROBES, MAX_FILTER_BYTES = 10, 4, 64 << 20
 LEAST_COUNT = {1: 1, 2: 2}
 #: Bytes of text whose n-grams one bucket takes, and the bits of a bucket's number at most (the pairs' keys have 24 to spare).
-BUCKET_BYTES, MOST_BUCKET_BITS = 8 << 20, 22
+BUCKET_BYTES, MOST_BUCKET_BITS, MOST_PARTITIONS = 8 << 20, 22, 1 << 15
 FLUSH = 1 << 21
 #: Tokens of the documents that are scored together, and bytes of n-grams in one task, where the filter is stored.
 CHUNK, LOOKED_UP_BYTES = 1 << 20, 64 << 20
@@ -232,8 +232,10 @@ def train(docs: DataFrame, text: str = "text", bucket_bits: int | None = None):
         size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
         bucket_bits = max(6, min(MOST_BUCKET_BITS, (size // BUCKET_BYTES).bit_length()))
     sent = docs.select(text).mapInArrow(_count(bucket_bits), "kind int, bucket int, blob binary")
+    # As many partitions as buckets: what one task reads doesn't follow the corpus.
+    dealt = sent.repartition(min(1 << bucket_bits, MOST_PARTITIONS), "kind", "bucket")
     merged = materialize(
-        sent.groupBy("kind", "bucket").applyInArrow(_merge, "kind int, bucket int, entries long, top int, blob binary"), "ngrams"
+        dealt.groupBy("kind", "bucket").applyInArrow(_merge, "kind int, bucket int, entries long, top int, blob binary"), "ngrams"
     )
     entries, top_level = (x or 0 for x in merged.agg(F.sum("entries"), F.max("top")).first())
     segment_bytes = max(64, entries * BITS_PER_ENTRY // 8 >> bucket_bits)
