@@ -313,3 +313,15 @@ def test_names_for_ids(spark, folder, tmp_path, name):
         d.write.parquet(str(tmp_path / f"{n}.parquet"))
     got = registry.QUERIES[name](spark, str(tmp_path)).select("doc_id").collect()
     assert Counter(r[0] for r in got) == Counter(None if i is None else f"d{i}" for i, _, _ in DATA)
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op4_toxicity", "op5_mixing", "op6_near_dedup", "op10_decontamination"])
+def test_nothing_small_enough_to_broadcast(spark, folder, monkeypatch, name):
+    """The ways for sides beyond the broadcast bound give the same rows."""
+    from matchloom.llm import spans
+
+    bag_of = lambda: Counter(tuple(r) for r in run(spark, folder, name))
+    want = bag_of()
+    monkeypatch.setattr(spans, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+    assert bag_of() == want
