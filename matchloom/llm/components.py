@@ -25,14 +25,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-        least = materialize(least, f"{name}-least")
         large = split_join(both.where("v > u"), least, "u", "c", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, f"{name}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         small = materialize(small, f"{name}-small")
         state = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(large, least, e)
+        discard(large, e)
         e = small
         if tuple(state) == before:
             break

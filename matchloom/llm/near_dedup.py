@@ -230,7 +230,7 @@ def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
 
     ``w``: how often its retained values are retained by any node.
     """
-    values = materialize(sketches.select("id", "n", F.explode("sketch").alias("e")), "retained")
+    values = sketches.select("id", "n", F.explode("sketch").alias("e"))  # made again where it is read: the sketches are an eighth of its size
     shared = with_counts(values, "e", hot_limit(values))
     own = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("x"))  # K values at most
     rare = F.greatest(prefix_length(F.col("n"), percent) - (F.least(F.col("n"), F.lit(K)) - F.size("x")), F.lit(0)).cast("int")
@@ -239,7 +239,7 @@ def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
     lists = materialize(lists, "lists")
     limit = hot_limit(lists)
     out = materialize(with_counts(lists, "key", limit), "shared-lists")
-    discard(values, lists)
+    discard(lists)
     return out, limit
 
 

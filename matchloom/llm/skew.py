@@ -41,7 +41,7 @@ def with_counts(rows: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def split_join(rows: DataFrame, side: DataFrame, key: str | list[str], count: str, limit: int) -> DataFrame:
-    """Written ``rows`` joined with written ``side`` (a row a key; ``count``: the key's rows); hot keys are broadcast."""
+    """``rows`` joined with ``side`` (a row a key; ``count``: the key's rows), both cheap to make again or written; hot keys are broadcast."""
     hot = side.where(F.col(count) > limit)
     if hot.isEmpty():
         return rows.join(side, key)

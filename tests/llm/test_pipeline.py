@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matchloom.llm import quality
+from matchloom.session import materialize
 from tests_llm_rows import low, shingles, split, targets_by_force
 
 PLAIN = "time year people way day man thing woman life child world school state family student group country problem hand part place case week".split()
@@ -83,7 +84,7 @@ def test_stages_by_force(spark, folder):
     def after(name):
         nonlocal now
         before = now.collect()
-        now = corpus_pipeline.materialize(steps[name](spark, now, path), name)
+        now = materialize(steps[name](spark, now, path), name)
         if name != "sharding":
             assert now.columns == columns
         return before, now.collect()
