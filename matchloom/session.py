@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder as Parquet and read it back.
 
@@ -55,7 +59,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/matchloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
@@ -65,3 +72,16 @@ def discard(*frames: DataFrame) -> None:
         for f in df.inputFiles()[:1]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` written, without what was written on the way to it."""
+    _SCRATCH.append([])
+    try:
+        out = materialize(make(), name)
+    finally:
+        written = _SCRATCH.pop()
+    discard(*written[:-1])
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
