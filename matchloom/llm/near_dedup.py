@@ -243,8 +243,8 @@ def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
     return out, limit
 
 
-def node_links(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between nodes that connect all that are similar enough."""
+def node_groups(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(id, component) of linked nodes, and links (a, b) between those, if there are more, that connect all that are similar enough."""
     shared, limit = candidate_lists(sketches, percent)
     small = shared.where(F.col("c") <= SHORT_LIST).select("key", "id")
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a > b")
@@ -270,11 +270,13 @@ def node_links(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent:
     mixed = labelled.groupBy("key", "c").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "c")
     both = hot_join(labelled, materialize(mixed, "mixed-lists"), "key", limit, "left_semi")
     rest = materialize(both.select("id", "component").distinct(), "rest")
+    more = None
     if not rest.isEmpty():
         tried = materialize(prefix_pairs(docs, rest, nodes, percent).join(first, ["a", "b"], "left_anti"), "more-candidates")
-        links = materialize(links.unionByName(exact_links(tried, sketches, nodes, docs, percent)), "all-links")
-    discard(shared, hubs, first, labelled)
-    return links
+        if not tried.isEmpty():
+            more = materialize(exact_links(tried, sketches, nodes, docs, percent), "more-links")
+    discard(shared, hubs, first, links, labelled)
+    return found, more
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -290,16 +292,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = nodes.select("id", "digest", "doc_id", "text_hash")
     sketches = known.join(place, ["digest", "doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sketch")
     sketches = materialize(sketches, "sketches")
-    edges = node_links(docs, nodes, sketches, percent)
+    found, more = node_groups(docs, nodes, sketches, percent)
 
     several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     several = materialize(several, "several-texts")
     if not several.isEmpty():  # a document with several texts links them
         own = known.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct()
         own = own.withColumnRenamed("doc_id", "d").join(nodes.select("digest", "id"), "digest")
-        hub = own.groupBy("d").agg(F.min("id").alias("b"))
-        edges = edges.unionByName(own.join(hub, "d").where("id <> b").select(F.col("id").alias("a"), "b"))
-    found = materialize(components(edges, "all"), "components")
+        same = own.join(own.groupBy("d").agg(F.min("id").alias("b")), "d").where("id <> b").select(F.col("id").alias("a"), "b")
+        more = same if more is None else more.unionByName(same)
+    if more is not None:
+        stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = materialize(components(stars.unionByName(more), "all"), "all-components")
 
     labelled = nodes.join(found, "id", "left").select("digest", "c", "doc_id", F.coalesce("component", "id").alias("component"))
     labelled = materialize(labelled, "labels")
