@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions import encoder, matrices, syntax, topology, vectors
+from matchloom.functions import encoder, matrices, register, syntax, topology, vectors
 from matchloom.operators import candidates, evaluate, model, profile, protocol, report, splits, stats
 from matchloom.session import materialize
 from matchloom.sources import catalog, tables
@@ -294,6 +294,17 @@ def hash_seed(spark, sf_dir):
     return d.select("doc_id", F.lower(F.lpad(F.conv(F.col("seed").cast("string"), 10, 16), 16, "0")).alias("prefix"))
 
 
+@query(
+    "sql_functions",
+    f"""SELECT k, levenshtein(x, y)::DOUBLE AS lev, length(x)::DOUBLE AS len_a, round(CASE WHEN x = '' AND y = '' THEN 1.0 ELSE jaro_similarity(x, y) END, 6) AS jaro FROM ({_NORM})""",
+)
+def sql_functions(spark, sf_dir):
+    """The features as functions of Spark SQL."""
+    register.register(spark)
+    string_pairs(spark, sf_dir).createOrReplaceTempView("string_pairs")
+    return spark.sql("SELECT k, syn_levenshtein(a, b) AS lev, syn_len_a(a, b) AS len_a, round(syn_jaro(a, b), 6) AS jaro FROM string_pairs")
+
+
 # Vector distances
 
 

@@ -95,6 +95,15 @@ def pair_manifest(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
 # Baselines
 
 #: Matchers that a plug-in may provide, and those that hand over score files; fixed names.
+EXTERNAL_BASELINES = (
+    "ISResMat", "LLMATCH", "Magneto_ft_gpt", "Magneto_ft_no_gpt", "Magneto_no_ft_gpt", "Magneto_no_ft_no_gpt", "coma", "coma_pp",
+    "coma_inst", "cupid_ext", "similarity_flooding_ext", "distribution_based_ext", "SMUTF",
+)
+#: External names under which an in-process matcher is asked for; fixed values.
+ALIASES = {
+    "coma": "coma_schema", "coma_pp": "coma_instance", "coma_inst": "coma_instance", "cupid_ext": "cupid",
+    "similarity_flooding_ext": "similarity_flooding", "distribution_based_ext": "distribution_based",
+}
 IN_PROCESS_BASELINES = ("Coma", "ComaInst", "Cupid", "DistributionBased", "SimilarityFlooding")
 
 
@@ -131,6 +140,14 @@ def run_external(test: DataFrame, method: str, config: dict, environment: dict[s
     return left_join_scores(test, adapt_scores(read_table(test.sparkSession, path))), "ok"
 
 
+def resolve(method: str, plugins: dict, config: dict) -> str:
+    """How ``method`` is run: ``plugin:NAME`` (its own name or its alias), ``external``, or ``unknown``."""
+    for name in (method, ALIASES.get(method)):
+        if name in plugins:
+            return f"plugin:{name}"
+    return "external" if method in config.get("external", {}) or method in EXTERNAL_BASELINES else "unknown"
+
+
 def run_matcher(candidates: DataFrame, matcher, names: tuple[str, str] = ("source_text", "target_text")) -> DataFrame:
     """Scores by a plug-in ``matcher(source, target) -> float``; a failure scores 0 and is reported in ``failure``."""
     import pandas as pd

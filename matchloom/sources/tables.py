@@ -47,10 +47,29 @@ def write_runtime(df: DataFrame, path: str) -> str | None:
     return None if df.isEmpty() else write_table(df, path)
 
 
-def scan_csv(spark: SparkSession, path: str, rows: int | None = 5000) -> DataFrame:
-    """A CSV with a header as strings; its first ``rows`` lines (None, 0 or less: all), which is a feature of profiling."""
+#: Spellings of a missing value in CSV files; fixed values.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+)
+
+
+def scan_csv(spark: SparkSession, path: str, rows: int | None = 5000, typed: bool = False, missing: tuple[str, ...] = MISSING) -> DataFrame:
+    """A CSV with a header, its first ``rows`` lines (None, 0 or less: all), which is a feature of profiling.
+
+    Values spelled as in ``missing`` are null. Columns are strings; ``typed`` infers
+    their types from all values that are left, as long, double, boolean or string.
+    """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return df.limit(rows) if rows and rows > 0 else df
+    df = df.limit(rows) if rows and rows > 0 else df
+    df = df.select(*[F.when(~F.coalesce(F.col(f"`{c}`"), F.lit("")).isin(*missing), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    if not typed or not df.columns:
+        return df
+    fits = lambda c, kind: F.coalesce(F.min(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(kind).isNotNull()), F.lit(False))
+    kinds = ("bigint", "double", "boolean")
+    found = df.agg(*[fits(c, k).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k in kinds]).first()  # one row
+    kind = {c: next((k for k in kinds if found[f"{i}_{k}"]), "string") for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").cast(kind[c]).alias(c) for c in df.columns])
 
 
 def read_json(path: str):

@@ -89,3 +89,27 @@ def test_entry_contract():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 60
+
+
+def test_csv_types_and_missing_values(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b,c,d\n1,2.5,x,\nNA,n/a,"y\nz",NULL\n3,4,NaN,\n')
+    plain = tables.scan_csv(spark, str(tmp_path / "t.csv"), None)
+    assert [t for _, t in plain.dtypes] == ["string"] * 4
+    got = tables.scan_csv(spark, str(tmp_path / "t.csv"), None, typed=True)
+    assert [t for _, t in got.dtypes][:3] == ["bigint", "double", "string"]
+    assert [tuple(r)[:3] for r in got.collect()] == [(1, 2.5, "x"), (None, None, "y\nz"), (3, 4.0, None)]
+    assert tables.scan_csv(spark, str(tmp_path / "t.csv"), 1).count() == 1
+
+
+def test_sql_functions(spark):
+    from matchloom.functions import register
+
+    assert len(register.register(spark)) == 27
+    row = spark.sql("SELECT syn_jaro('martha', 'marhta') AS j, cls_euclidean(array(1, 2), array(4, 6)) AS e, cls_canberra(array(1, 2), array(4, 6)) AS c").first()
+    assert row["j"] == pytest.approx(17 / 18) and row["e"] == 5 and row["c"] == pytest.approx(1.1)
+
+
+def test_resolve():
+    assert catalog.resolve("coma_pp", {"coma_instance": min}, {}) == "plugin:coma_instance"
+    assert catalog.resolve("SMUTF", {}, {}) == "external" and catalog.resolve("nothing", {}, {}) == "unknown"
+    assert catalog.resolve("own", {}, {"external": {"own": {}}}) == "external"
