@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.ranks import global_rank
+
 
 def summarize(df: DataFrame, keys: list[str], metrics: list[str], unit: str = "pair_id") -> DataFrame:
     """Mean, sample standard deviation and median of each metric, rows and distinct units for each key."""
@@ -47,24 +49,21 @@ def representatives(sizes: DataFrame, n_bins: int, extra_largest: int, max_pairs
     median, the smallest row and the largest ones, which stay if ``max_pairs`` is less.
     One row for each table pair.
     """
-    by = Window.orderBy("candidate_pairs", "pair_id")
-    whole = Window.partitionBy()
-    n = F.count(F.lit(1)).over(whole)
-    distinct = F.size(F.collect_set("candidate_pairs").over(whole))
-    ranked = sizes.withColumn("rn", F.row_number().over(by)).withColumn("n", n).withColumn("q", F.least(F.lit(max(1, n_bins)), distinct))
+    ends = sizes.agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(max(1, n_bins)), F.countDistinct("candidate_pairs")).alias("q"))
+    ranked = global_rank(sizes, "rn", F.col("candidate_pairs"), F.col("pair_id")).join(F.broadcast(ends))  # one row
     binned = ranked.withColumn(
         "size_bin", F.greatest(F.lit(0), F.ceil((F.col("rn") - 1) * F.col("q") / F.greatest(F.col("n") - 1, F.lit(1))) - 1).cast("int")
     )
     median = binned.groupBy("size_bin").agg(F.median("candidate_pairs").alias("m"))
-    near = binned.join(median, "size_bin").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("size_bin").orderBy(F.abs(F.col("candidate_pairs") - F.col("m")), "rn"))
-    )
+    off = F.abs(F.col("candidate_pairs") - F.col("m"))
+    with_median = binned.join(F.broadcast(median), "size_bin")  # one row for each bin
+    near = with_median.groupBy("size_bin").agg(F.min(F.struct(off.alias("off"), "rn"))["rn"].alias("near"))
     edge = (F.col("rn") == 1) | (F.col("rn") > F.col("n") - extra_largest)
-    marked = near.withColumn("edge", edge).withColumn("take", (F.col("nth") == 1) | edge)
-    keep = F.row_number().over(Window.partitionBy("take").orderBy(F.desc("edge"), "size_bin", "candidate_pairs", "rn"))
-    return marked.withColumn("is_timed_representative", F.col("take") & (keep <= max_pairs)).select(
-        *sizes.columns, "size_bin", "is_timed_representative"
-    )
+    marked = binned.join(F.broadcast(near), "size_bin").withColumn("edge", edge).withColumn("take", (F.col("rn") == F.col("near")) | edge)
+    out = [*sizes.columns, "size_bin"]
+    keep = F.row_number().over(Window.orderBy(F.desc("edge"), "size_bin", "candidate_pairs", "rn"))  # of n_bins + extra_largest + 1 rows
+    taken = marked.where("take").select(*out, (keep <= max_pairs).alias("is_timed_representative"))
+    return taken.unionByName(marked.where("not take").select(*out, F.lit(False).alias("is_timed_representative")))
 
 
 def nearest(df: DataFrame, reps: DataFrame, value: str, log: bool = True) -> DataFrame:

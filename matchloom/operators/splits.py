@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.ranks import global_rank
+
 
 def stratum(*columns: Column) -> Column:
     return F.concat_ws("::", *columns)
@@ -18,9 +20,12 @@ def shuffled(key: Column, seed: int) -> Column:
 def stratified_folds(pairs: DataFrame, n_splits: int = 5, seed: int = 42) -> DataFrame:
     """``pairs`` (pair_id, stratum) with ``fold_id``: dealt within strata, or over all where a stratum is too small."""
     least = pairs.groupBy("stratum").count().agg(F.min("count")).first()[0] or 0
-    by = ["stratum"] if least >= n_splits else []
-    w = Window.partitionBy(*by).orderBy(shuffled(F.col("pair_id"), seed), "pair_id")
-    return pairs.withColumn("fold_id", ((F.row_number().over(w) - 1) % n_splits).cast("int"))
+    order = [shuffled(F.col("pair_id"), seed), F.col("pair_id")]
+    if least >= n_splits:
+        ranked = pairs.withColumn("__rn", F.row_number().over(Window.partitionBy("stratum").orderBy(*order)))
+    else:
+        ranked = global_rank(pairs, "__rn", *order)
+    return ranked.withColumn("fold_id", ((F.col("__rn") - 1) % n_splits).cast("int")).drop("__rn")
 
 
 def one_split(pairs: DataFrame, seed: int, test_size: float = 0.3) -> DataFrame:
