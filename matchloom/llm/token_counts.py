@@ -413,7 +413,10 @@ def counter(path: str) -> Counter:
 
 def _counting(path: str | None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path or vocabulary_path())
+        # By import and not by reference: pickled functions have globals of their own in each task.
+        from matchloom.llm import token_counts
+
+        c = token_counts.counter(path or vocabulary_path())
         for batch in batches:
             column = batch.column(1)
             for i, j, _, at in tx.pieces(column):
