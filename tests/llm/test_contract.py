@@ -77,6 +77,20 @@ def test_op3(spark, folder):
     assert bag(run(spark, folder, "op3_token_counts"), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
 
 
+def test_op3_long_words():
+    """Words of many chunks: maps that are constant, that keep a phase, and that do neither."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import random
+
+    from matchloom.llm import token_counts
+
+    path, rng = token_counts.vocabulary_path(), random.Random(8)
+    t, c = tokenizers.Tokenizer.from_file(path), token_counts.counter(path)
+    texts = ["x" * 5000, "ab" * 4000, "é" * 3000, "abc" * 900 + " the " + "zq" * 1500, "".join(rng.choice("abcdest") for _ in range(6000)), "=-" * 800]
+    texts += ["".join(rng.choice(["a", "aa", "aaa", "b"]) for _ in range(n)) for n in (255, 256, 257, 511, 512, 2000)]
+    assert c.count(texts).tolist() == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def sentences_by_force(text):
     """Words of each sentence, as sets of hashed features."""
     out = []
