@@ -86,7 +86,7 @@ def against_best(pairs: DataFrame, metric: str, prefix: str) -> DataFrame:
     top = rows.where("method = best").select("best", "run_id", "pair_id", F.col("v").alias("x"))
     other = rows.where("method <> best").select("method", "run_id", "pair_id", F.col("v").alias("y"))
     exact = top.join(other, ["run_id", "pair_id"]).select("best", "method", "pair_id", "x", "y", F.lit("run_id+pair_id").alias("paired_on"))
-    mean = lambda df, keys, c: df.groupBy(*keys, "pair_id").agg(F.avg(c).alias(c))
+    mean = lambda df, keys, c: df.groupBy(*keys, "pair_id").agg(F.round(F.avg(c), 9).alias(c))  # noqa: E731  equal means are ties in any order of summation
     rest = other.join(exact.select("method").distinct(), "method", "left_anti")
     loose = mean(top, ["best"], "x").join(mean(rest, ["method"], "y"), "pair_id").select(
         "best", "method", "pair_id", "x", "y", F.lit("pair_id_mean_over_runs").alias("paired_on")

@@ -772,7 +772,7 @@ def saved_scores(spark, sf_dir) -> DataFrame:
     d = t(spark, sf_dir, "documents")
     score = lambda k: F.round((F.col("n_chars") % k) / float(k), 3)
     runs = F.array(
-        *[F.struct(F.lit(r).alias("run_id"), F.lit(m).alias("method"), score(k).alias("score")) for r, m, k in (("1", "meta_space_a", 1000), ("1", "meta_space_b", 777), ("1", "plain", 333), ("2", "late", 100))]
+        *[F.struct(F.lit(r).alias("run_id"), F.lit(m).alias("method"), score(k).alias("score")) for r, m, k in (("1", "own_a", 1000), ("1", "own_b", 777), ("1", "plain", 333), ("2", "late", 100))]
     )
     return d.select(
         (F.col("doc_id") % 3).cast("int").alias("fold_id"), F.col("source").alias("pair_id"), F.concat(F.lit(" S"), F.col("doc_id")).alias("source_col_norm"),
@@ -792,7 +792,7 @@ def labelled_scores(spark, sf_dir) -> DataFrame:
 
 
 _LABELLED = """SELECT CAST(doc_id % 3 AS INTEGER) AS fold_id, source AS pair_id, 's' || doc_id AS source_col_norm, quality AS label, run_id, method, round((n_chars % k) / k, 3) AS score
-  FROM documents JOIN labels USING (doc_id), (VALUES ('1', 'meta_space_a', 1000.0::DOUBLE), ('1', 'meta_space_b', 777.0), ('1', 'plain', 333.0), ('2', 'late', 100.0)) AS v(run_id, method, k)"""
+  FROM documents JOIN labels USING (doc_id), (VALUES ('1', 'own_a', 1000.0::DOUBLE), ('1', 'own_b', 777.0), ('1', 'plain', 333.0), ('2', 'late', 100.0)) AS v(run_id, method, k)"""
 _PROTOCOL = f"""WITH d AS ({_LABELLED}), f AS (SELECT DISTINCT run_id, method, fold_id AS held FROM d),
 c AS (SELECT run_id, method, held, score, sum(label) AS pos, count(*) AS n FROM d JOIN f USING (run_id, method) WHERE held <> fold_id GROUP BY ALL),
 u AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS k, sum(pos) OVER (PARTITION BY run_id, method, held) AS total, lead(score) OVER (PARTITION BY run_id, method, held ORDER BY score DESC) AS lower
@@ -842,26 +842,26 @@ def score_method_summary(spark, sf_dir):
 
 @query(
     "score_against_best",
-    f"""{_PAIR_ROWS}, b AS (SELECT method AS best FROM pm WHERE method LIKE 'meta~_space~_%' ESCAPE '~' GROUP BY method ORDER BY avg(f1_opt_train) DESC, method DESC LIMIT 1),
+    f"""{_PAIR_ROWS}, b AS (SELECT method AS best FROM pm WHERE method LIKE 'own~_%' ESCAPE '~' GROUP BY method ORDER BY avg(f1_opt_train) DESC, method DESC LIMIT 1),
     e AS (SELECT best, o.method, o.pair_id, x.f1_opt_train - o.f1_opt_train AS d, 'run_id+pair_id' AS paired_on FROM pm x JOIN b ON x.method = best JOIN pm o ON o.run_id = x.run_id AND o.pair_id = x.pair_id AND o.method <> best),
-    g AS (SELECT best, o.method, pair_id, x.v - o.v AS d, 'pair_id_mean_over_runs' AS paired_on FROM (SELECT best, pair_id, avg(f1_opt_train) AS v FROM pm JOIN b ON method = best GROUP BY ALL) x
-      JOIN (SELECT method, pair_id, avg(f1_opt_train) AS v FROM pm, b WHERE method <> best AND method NOT IN (SELECT method FROM e) GROUP BY ALL) o USING (pair_id)),
+    g AS (SELECT best, o.method, pair_id, x.v - o.v AS d, 'pair_id_mean_over_runs' AS paired_on FROM (SELECT best, pair_id, round(avg(f1_opt_train), 9) AS v FROM pm JOIN b ON method = best GROUP BY ALL) x
+      JOIN (SELECT method, pair_id, round(avg(f1_opt_train), 9) AS v FROM pm, b WHERE method <> best AND method NOT IN (SELECT method FROM e) GROUP BY ALL) o USING (pair_id)),
     w AS (SELECT best, method, paired_on, count(*) AS n_pairs_runs, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses, round(avg(d), 5) AS mean_delta FROM (FROM e UNION ALL FROM g) GROUP BY ALL)
-    SELECT *, round((wins + 0.5 * ties) / n_pairs_runs, 5) AS winrate_half_ties, {_SIGN.replace(", 9)", ", 5)")} AS sign_test_pvalue FROM w""",
+    SELECT *, round((wins + 0.5 * ties) / n_pairs_runs, 9) AS winrate_half_ties, {_SIGN.replace(", 9)", ", 5)")} AS sign_test_pvalue FROM w""",
 )
 def score_against_best(spark, sf_dir):
-    made = protocol.against_best(score_pairs(spark, sf_dir), "f1_opt_train", "meta_space_")
-    return report.round_numeric(made.drop("median_delta", "wilcoxon_pvalue"), 5)
+    made = protocol.against_best(materialize(score_pairs(spark, sf_dir), "pair-rows"), "f1_opt_train", "own_")
+    return made.select("best", "method", "paired_on", "n_pairs_runs", "wins", "ties", "losses", *[F.round(c, d).alias(c) for c, d in (("mean_delta", 5), ("winrate_half_ties", 9), ("sign_test_pvalue", 5))])
 
 
 @query(
     "f1_distribution",
-    f"{_PAIR_ROWS} SELECT method, pair_id, round(max(f1_opt_train), 2) AS f1 FROM pm WHERE method IN ('plain', 'meta_space_b', 'late') GROUP BY method, pair_id",
+    f"{_PAIR_ROWS} SELECT method, pair_id, round(max(f1_opt_train), 2) AS f1 FROM pm WHERE method IN ('plain', 'own_b', 'late') GROUP BY method, pair_id",
 )
 def f1_distribution(spark, sf_dir):
     """The best F1 of each method and pair, in a fixed order of methods."""
     one = protocol.first_of_each(score_pairs(spark, sf_dir).select("method", "pair_id", F.col("f1_opt_train").alias("f1")), ["method", "pair_id"], "f1")
-    return report.round_numeric(protocol.ordered(one, "method", ["plain", "meta_space_b", "late"], "method", "pair_id"), 2)
+    return report.round_numeric(protocol.ordered(one, "method", ["plain", "own_b", "late"], "method", "pair_id"), 2)
 
 
 @query(

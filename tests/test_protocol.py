@@ -8,7 +8,7 @@ from matchloom.operators import candidates, model, protocol, splits
 
 def rows_of(spark):
     data = []
-    for run, method, shift in (("1", "meta_space_x", 0.0), ("1", "plain", 0.4), ("2", "late", 0.2)):
+    for run, method, shift in (("1", "own_x", 0.0), ("1", "plain", 0.4), ("2", "late", 0.2)):
         for fold in range(3):
             for pair in ("p", "q"):
                 for k in range(4):
@@ -39,8 +39,8 @@ def test_protocol(spark):
 
 def test_against_best_falls_back_on_means(spark):
     pairs = protocol.pair_metrics(protocol.predictions(rows_of(spark)))
-    got = {r["method"]: r for r in protocol.against_best(pairs, "f1_ground_size", "meta_space_").collect()}
-    assert set(got) == {"plain", "late"} and {r["best"] for r in got.values()} == {"meta_space_x"}
+    got = {r["method"]: r for r in protocol.against_best(pairs, "f1_ground_size", "own_").collect()}
+    assert set(got) == {"plain", "late"} and {r["best"] for r in got.values()} == {"own_x"}
     assert got["plain"]["paired_on"] == "run_id+pair_id" and got["late"]["paired_on"] == "pair_id_mean_over_runs"
     assert got["late"]["n_pairs_runs"] == 2
     assert protocol.best_method(pairs, "f1_ground_size", "none").first()[0] is not None
