@@ -356,7 +356,7 @@ def cls_spearman(spark, sf_dir):
 def clouds(spark, sf_dir) -> DataFrame:
     """(label, tok): all of a label's vectors, in order of their ids. A cloud is one value of the functions on it."""
     e = t(spark, sf_dir, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("m"))
-    return e.repartition("label").select("label", F.transform("m", lambda x: x["embedding"]).alias("tok"))
+    return e.repartition(32, "label").select("label", F.transform("m", lambda x: x["embedding"]).alias("tok"))
 
 
 def _stats(names, f):
