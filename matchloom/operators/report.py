@@ -34,6 +34,22 @@ def mean_std(mean: Column, std: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f ± %.{digits}f", mean, std)
 
 
+def round_half_away(x: Column, digits: int) -> Column:
+    """``x`` as a double times a power of ten, rounded half away from zero, and back: SQL's round of a double (Spark's rounds the printed decimal)."""
+    y = F.abs(x * 10.0**digits)
+    whole = F.floor(y).cast("double")
+    rounded = F.signum(x) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(y < 2.0**52, rounded).otherwise(x)
+
+
+def mean_in_order(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """(keys, mean) of ``value``, added up in ``order``: sums of doubles that do not hang on partitions. Sorted rows spill; a group is not held."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = df.select(*keys, F.sum(value).over(w).alias("s"), F.count(value).over(w).alias("n"), F.row_number().over(w).alias("at"))
+    last = run.groupBy(*keys).agg(F.max_by(F.struct("s", "n"), "at").alias("x"))
+    return last.select(*keys, (F.col("x.s") / F.nullif("x.n", F.lit(0))).alias("mean"))
+
+
 def round_numeric(df: DataFrame, digits: int) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 

@@ -52,7 +52,13 @@ def sign_test(wins: int, losses: int) -> float:
     n, k = wins + losses, min(wins, losses)
     if not n:
         return float("nan")
-    return min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)
+    term = total = 1.0  # C(n, i) / C(n, k) from i = k down: the ratios fall, so what is left out is below rounding
+    for i in range(k, 0, -1):
+        term *= i / (n - i + 1)
+        if term < 1e-18 * total:
+            break
+        total += term
+    return min(1.0, 2 * total * (comb(n, k) / 2**n))
 
 
 def sign_test_column(wins: Column, losses: Column) -> Column:

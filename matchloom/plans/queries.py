@@ -692,8 +692,9 @@ def materialize_folds(spark, sf_dir):
 
 
 def methods(spark, sf_dir) -> DataFrame:
-    e = t(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("method"), F.col("user_id").alias("pair_id")).agg(F.round(F.avg("value"), 1).alias("f1"))
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("user_id").alias("pair_id"), "event_id", "ts", "value")
+    means = report.mean_in_order(e, ["method", "pair_id"], "value", ["event_id", "ts", "value"])
+    return means.select("method", "pair_id", report.round_half_away(F.col("mean"), 1).alias("f1"))
 
 
 _M = "SELECT event_type AS method, user_id AS pair_id, round(avg(value), 1) AS f1 FROM events GROUP BY ALL"

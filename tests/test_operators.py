@@ -113,3 +113,39 @@ def test_resolve():
     assert catalog.resolve("coma_pp", {"coma_instance": min}, {}) == "plugin:coma_instance"
     assert catalog.resolve("SMUTF", {}, {}) == "external" and catalog.resolve("nothing", {}, {}) == "unknown"
     assert catalog.resolve("own", {}, {"external": {"own": {}}}) == "external"
+
+
+def test_means_are_added_in_order_and_rounded_as_in_sql(spark):
+    """Sums of doubles hang on their order, and SQL rounds the product: neither may hang on partitions."""
+    from matchloom.operators import report
+
+    values = [0.1 * i for i in range(1, 40)] + [1e15, 0.3, -1e15]
+    want = 0.0
+    for v in values:
+        want += v
+    rows = [(i, "a", v) for i, v in enumerate(values)] + [(99, "b", None), (100, "c", 1.0), (101, "c", None)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows[::-1], "i int, k string, v double").repartition(parts)
+        got = {r["k"]: r["mean"] for r in report.mean_in_order(df, ["k"], "v", ["i"]).collect()}
+        assert got == {"a": want / len(values), "b": None, "c": 1.0}
+    import duckdb
+
+    xs = [3.4499999999999997, -3.4499999999999997, 0.049999999999999996, 0.25, -0.25, 1e300, 7.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(report.round_half_away(F.col("x"), 1)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 1)", [x]).fetchone()[0] for x in xs]
+    assert got[0] == 3.5  # 3.4 by the printed decimal
+
+
+def test_sign_test_of_many_decisions():
+    """Thousands of decisions are one binomial and a short sum, not a sum of thousands of binomials."""
+    import time
+    from math import comb
+
+    for n in range(1, 40):
+        for k in range(n + 1):
+            exact = min(1.0, 2 * sum(comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)
+            assert stats.sign_test(k, n - k) == pytest.approx(exact, rel=1e-13)
+    start = time.perf_counter()
+    assert stats.sign_test(4398, 4590) == pytest.approx(0.04393426001767131, rel=1e-12)  # from the exact sum of integers
+    assert stats.sign_test(44700, 45300) < 0.05
+    assert time.perf_counter() - start < 2
