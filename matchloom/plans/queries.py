@@ -424,7 +424,54 @@ def _pairs_query(names, f):
     return run
 
 
-query("spc_pair")(_pairs_query(matrices.SPECTRAL_FEATURES, matrices.spectral_pair))
+_TRIANGLE = "label int, n long, width int, r array<double>"
+
+
+def _merged(frames, ready: bool):
+    """Rows with 1 before each, or triangles of them (``ready``), to triangles by label; at most 256 labels are held."""
+    open_: dict = {}
+
+    def close():
+        done = [(k, n, r.shape[1], r.ravel()) for k, (n, r) in open_.items()]
+        open_.clear()
+        return pd.DataFrame(done, columns=["label", "n", "width", "r"])
+
+    for pdf in frames:
+        for label, part in pdf.groupby("label", dropna=False):
+            label = None if pd.isna(label) else int(label)
+            if ready:
+                n, rows = int(part["n"].sum()), [np.reshape(x, (-1, w)) for x, w in zip(part["r"], part["width"], strict=True)]
+            else:
+                m = np.vstack([np.asarray(x, float) for x in part["embedding"]])
+                n, rows = len(m), [np.column_stack([np.ones(len(m)), m])]
+            before, r = open_.get(label, (0, None))
+            open_[label] = before + n, matrices.triangle(np.vstack(rows if r is None else [r, *rows]))
+        if len(open_) > 256:
+            yield close()
+    if open_:
+        yield close()
+
+
+def triangles(spark, sf_dir) -> DataFrame:
+    """(label, n, width, r): of all vectors of a label with 1 before each, the triangle that has the same singular values; no cloud is gathered."""
+    e = t(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), "embedding")
+    made = e.mapInPandas(lambda frames: _merged(frames, False), _TRIANGLE)
+    return made.groupBy("label").applyInPandas(lambda pdf: next(_merged([pdf], True)), _TRIANGLE)  # one small row for each task and label
+
+
+@query("spc_pair")
+def spc_pair(spark, sf_dir):
+    @F.pandas_udf(", ".join(f"{n} double" for n in matrices.SPECTRAL_FEATURES))
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        side = lambda p: [(np.reshape(r, (-1, w)), n) for n, w, r in zip(p["n"], p["width"], p["r"], strict=True)]
+        return encoder.to_frame([matrices.spectral_pair_of_triangles(*a, *b) for a, b in zip(side(x), side(y), strict=True)], matrices.SPECTRAL_FEATURES)
+
+    c = triangles(spark, sf_dir)
+    one = F.struct("n", "width", "r")
+    made = c.select(F.col("label").alias("a"), one.alias("x")).join(c.select((F.col("label") - 1).alias("a"), one.alias("y")), "a").select("a", run("x", "y").alias("s"))
+    return made.select("a", *[r6(F.col("s")[n]).alias(n) for n in matrices.SPECTRAL_FEATURES])
+
+
 _OVERLAP = ("tda_overlap_sym", "tda_overlap_a2b", "tda_overlap_b2a")
 query(
     "tda_overlap",
