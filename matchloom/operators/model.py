@@ -23,7 +23,8 @@ def build_model(kind: str, features: list[str], trees: int = 350, depth: int = 3
     column = "__features" if scale else "__raw"
     common = {"featuresCol": column, "labelCol": "label", "weightCol": "weight"}
     if kind == "rf":
-        last = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common)
+        # node ids are kept beside the rows, so that a level is no walk of all rows from all roots; the forest is the same
+        last = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, **common)
     elif kind == "logreg":
         last = LogisticRegression(maxIter=100, **common)
     else:
@@ -39,6 +40,16 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), "label")  # one row for each class
 
 
+def dealt(df: DataFrame, features: list[str], tasks: int = 16, rows: int = 20_000) -> DataFrame:
+    """``df`` over at least ``tasks`` partitions of about ``rows``: a small table is one file part, and a forest's work is trees times rows, not bytes."""
+    return df.repartition(max(tasks, df.count() // rows + 1)).sortWithinPartitions(*features, "label")
+
+
+def fit(kind: str, train: DataFrame, features: list[str], **how):
+    rows = balanced(train)
+    return build_model(kind, features, **how).fit(dealt(rows, features) if kind == "rf" else rows)
+
+
 def score(model, df: DataFrame) -> DataFrame:
     """``df`` with ``score``, the probability of class 1."""
     out = model.transform(df.withColumn("weight", F.lit(1.0)))
@@ -46,12 +57,12 @@ def score(model, df: DataFrame) -> DataFrame:
 
 
 def train_and_predict(train: DataFrame, test: DataFrame, features: list[str], kind: str = "rf", **how) -> DataFrame:
-    return score(build_model(kind, features, **how).fit(balanced(train)), test)
+    return score(fit(kind, train, features, **how), test)
 
 
 def evaluate(train: DataFrame, test: DataFrame, features: list[str], kind: str = "rf", **how) -> tuple[DataFrame, DataFrame]:
     """(pair metrics of ``test``, the threshold chosen on ``train``)."""
-    model = build_model(kind, features, **how).fit(balanced(train))
+    model = fit(kind, train, features, **how)
     chosen = best_threshold(score(model, train))
     scored = score(model, test).join(F.broadcast(chosen))  # one row
     return pair_metrics(scored.withColumn("pred", (F.col("score") > F.col("threshold")).cast("int"))), chosen
@@ -76,7 +87,7 @@ def evaluate_folds(
             for k in numbers:
                 train, test = (dealt.where((F.col("fold_id") == k) & (F.col("role") == role)) for role in ("train", "test"))
                 start = time.perf_counter()
-                model = build_model("rf", features, seed=seed + k, scale=False, **how).fit(balanced(train))
+                model = fit("rf", train, features, seed=seed + k, scale=False, **how)
                 fitted = time.perf_counter()
                 known = materialize(score(model, train).select("pair_id", "label", "score"), "train-scores")
                 scored = time.perf_counter()

@@ -149,3 +149,17 @@ def test_sign_test_of_many_decisions():
     assert stats.sign_test(4398, 4590) == pytest.approx(0.04393426001767131, rel=1e-12)  # from the exact sum of integers
     assert stats.sign_test(44700, 45300) < 0.05
     assert time.perf_counter() - start < 2
+
+
+def test_forests_are_dealt_and_keep_node_ids(spark):
+    """A table of one partition is fitted by many tasks, whole; kept node ids change no score."""
+    from matchloom.operators import model
+
+    df = spark.createDataFrame([(float(i % 17), float(i % 5), int(i % 17 > 8)) for i in range(300)], "x double, y double, label int").coalesce(1)
+    rows = model.dealt(model.balanced(df), ["x", "y"])
+    assert rows.rdd.getNumPartitions() == 16 and rows.count() == 300
+    pipe = model.build_model("rf", ["x", "y"], trees=5, depth=6)
+    assert pipe.getStages()[-1].getCacheNodeIds()
+    kept = model.score(pipe.fit(rows), df).select("x", "y", "score").distinct().collect()
+    pipe.getStages()[-1].setCacheNodeIds(False)
+    assert set(kept) == set(model.score(pipe.fit(rows), df).select("x", "y", "score").distinct().collect())
