@@ -20,8 +20,9 @@ everything: its ``K`` smallest values are retained (all of a smaller set).
 5. The others are compared exactly, on their full sets of shingles from the texts.
 6. Where a long list is left with more than one component, its members are joined
    again by an exact prefix filter: a document's shingles in order of rarity among
-   these documents, with a bound on the overlap by position. Pairs of one component
-   are not tried again.
+   these documents, with a bound on the overlap by position and one by bits: a set's
+   shingles each set one of ``BITS`` bits, and two sets differ in at least as many
+   shingles as in bits. Both bounds are exact. Pairs of one component are not tried again.
 7. Components of the links; the smallest doc_id names a component.
 
 Sketches (about 520 bytes a document) and texts of candidates are shuffled; nothing
@@ -54,6 +55,8 @@ SHINGLE, PERCENT = 5, 85
 #: The stage of the pipeline links from this similarity on; ``PERCENT`` is the contract of the query.
 STAGE_PERCENT = 80
 K, SHORT_LIST, HUBS = 64, 8, 6
+#: Bits in which the members of long lists are compared before their pairs are made.
+BITS = 1024
 #: So many standard deviations fewer than at the threshold may be shared of ``K`` values.
 DEVIATIONS = 5
 _NONE = np.int64(2**63 - 1)
@@ -189,24 +192,34 @@ def exact_links(pairs: DataFrame, sketches: DataFrame, nodes: DataFrame, docs: D
     return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long")
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, e): a row for each shingle hash of each text."""
+def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, es, bits): each text's shingle hashes, and ``BITS`` bits of which each hash sets one."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
         for i, j, data, at in tx.pieces(batch.column(1)):
             start, length, first = tx.words(data, at)
             h = tx.word_hashes(data, start, length)
             sets = [np.unique(tx.shingle_hashes(h[first[r] : first[r + 1]], SHINGLE)) for r in range(j - i)]
             n = np.array([len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[i:j], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view("i8"))], names=["id", "n", "e"]
-            )
+            mask = np.zeros((j - i, BITS), bool)
+            every = np.concatenate(sets)
+            mask[np.repeat(np.arange(j - i), n), (every % np.uint64(BITS)).astype("i8")] = True
+            es = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(every.view("i8")))
+            words = BITS // 64
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * words, pa.int32()), pa.array(np.packbits(mask, axis=1).view("i8").ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), es, bits], names=["id", "n", "es", "bits"])
     tx.release()
 
 
+def unlike(x: str, y: str) -> Column:
+    """Bits that one of two sets has alone: each stems from a shingle that one of them has alone, so those are as many at least."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+
+
 def prefix_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``members`` (id, component) of different components that can be similar enough."""
-    rows = materialize(node_texts(docs, members.select("id"), nodes).mapInArrow(_shingles, "id long, n long, e long"), "member-shingles")
+    sets = node_texts(docs, members.select("id"), nodes).mapInArrow(_member_sets, "id long, n long, es array<long>, bits array<long>")
+    sets = materialize(sets, "member-sets")
+    rows = sets.select("id", "n", F.explode("es").alias("e"))  # made again where it is read
     limit = hot_limit(rows)
     known = with_counts(rows, "e", limit)
     order = Window.partitionBy("id").orderBy("c", "e")
@@ -217,11 +230,15 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
     prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     short = materialize(at.where(F.col("at") <= prefix).join(members, "id"), "prefixes")
     mixed = short.groupBy("e", "c").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("e", "c")
-    rest = materialize(hot_join(short, materialize(mixed, "mixed-shingles"), "e", limit, "left_semi"), "mixed-prefixes")
-    side = lambda k: rest.select("e", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"p{k}"), F.col("component").alias(f"c{k}"))
+    rest = hot_join(short, materialize(mixed, "mixed-shingles"), "e", limit, "left_semi")
+    rest = materialize(rest.join(sets.select("id", "bits"), "id"), "mixed-prefixes")
+    names = {"id": "", "n": "n", "at": "p", "component": "c", "bits": "b"}
+    side = lambda k: rest.select("e", *[F.col(c).alias(f"{short_}{k}") for c, short_ in names.items()])
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     possible = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = side("a").join(side("b"), "e").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (possible >= least))
+    apart = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
+    # Of n shingles each, a pair has na + nb - 2 * (those in both) that one has alone.
+    pairs = side("a").join(side("b"), "e").where(apart & (possible >= least) & (unlike("ba", "bb") <= F.col("na") + F.col("nb") - 2 * least))
     return pairs.select("a", "b").distinct()
 
 

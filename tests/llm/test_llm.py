@@ -80,6 +80,28 @@ def test_near_dedup_long_lists(spark):
     assert got == want
 
 
+def test_near_dedup_pairs_below_the_threshold_are_not_made(spark):
+    """Many texts near each other, but not near enough: the exact prefix filter makes all pairs that are, and few of the others."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = [base]
+    for _ in range(60):
+        w = list(base)
+        for j in rng.sample(range(3, 147, 6), 4):
+            w[j] = f"x{j}y{rng.randrange(2)}"
+        texts.append(w)
+    texts = sorted({" ".join(w) for w in texts})
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("id"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    members = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
+    got = {tuple(r) for r in near_dedup.prefix_pairs(docs, members, nodes, 80).collect()}
+    sets = [shingles(t) for t in texts]
+    share = {(i, j): len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets[:i])}
+    links = {p for p, s in share.items() if s >= 0.8}
+    assert links and links <= got
+    assert sum(s > 0.55 for s in share.values()) > 1_000 and len(got) < 2 * len(links) + 100
+
+
 def test_near_dedup_stage(spark):
     """The stage links from a similarity of 0.8 on, in small sets and in those large enough for the estimate."""
     rng = random.Random(11)
