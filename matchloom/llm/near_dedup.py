@@ -49,7 +49,7 @@ from matchloom.llm import text as tx
 from matchloom.llm.components import components
 from matchloom.llm.skew import deal_join, hot_join, hot_limit, split_join, with_counts
 from matchloom.llm.spans import sized
-from matchloom.session import discard, materialize
+from matchloom.session import FILE_ROWS, discard, materialize
 
 SHINGLE, PERCENT = 5, 85
 #: The stage of the pipeline links from this similarity on; ``PERCENT`` is the contract of the query.
@@ -57,6 +57,8 @@ STAGE_PERCENT = 80
 K, SHORT_LIST, HUBS = 64, 8, 6
 #: Bits in which the members of long lists are compared before their pairs are made.
 BITS = 1024
+#: Rows of a file for which texts are met.
+TEXTS = 512
 #: So many standard deviations fewer than at the threshold may be shared of ``K`` values.
 DEVIATIONS = 5
 _NONE = np.int64(2**63 - 1)
@@ -169,27 +171,29 @@ def _estimate(percent: int):
     return estimate
 
 
-def node_texts(docs: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, text) of the nodes in ``wanted`` (id), from the row that stands for each."""
-    place = materialize(nodes.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), "wanted")
+def node_texts(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(id, text) of the nodes in ``wanted`` (id; about ``n`` rows), from the row that stands for each."""
+    place = materialize(nodes.join(wanted, "id", "left_semi").select("id", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), "wanted", n)
     # Texts are picked where they are read, if the ids are few enough to broadcast.
     rows = docs.select("doc_id", "text").join(sized(place), (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h")))
     return rows.groupBy("id").agg(F.min("text").alias("text"))
 
 
-def exact_links(pairs: DataFrame, sketches: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of candidate ``pairs`` (a, b) those whose full sets are similar enough."""
+def exact_links(pairs: DataFrame, sketches: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
+    """Of candidate ``pairs`` (a, b; written) those whose full sets are similar enough, written under ``name``."""
     by = lambda k: sketches.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     known = deal_join(deal_join(pairs, by("a"), "a", "b"), by("b"), "b", "a", counted=pairs)
+    n = pairs.count() + sketches.count()
     known = known.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     likely = materialize(
-        known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate(percent), "a long, b long"), "likely"
+        known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimate(percent), "a long, b long"), "likely", n, FILE_ROWS // 2
     )
+    n = likely.count()
     ends = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = materialize(node_texts(docs, ends, nodes), "candidate-texts")
+    text = materialize(node_texts(docs, ends, nodes, 2 * n), "candidate-texts", 2 * n, TEXTS)
     of = lambda k: text.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
     both = deal_join(deal_join(likely, of("a"), "a", "b"), of("b"), "b", "a", counted=likely)
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long")
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long"), name, n, TEXTS)
 
 
 def _member_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,21 +221,24 @@ def unlike(x: str, y: str) -> Column:
 
 def prefix_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``members`` (id, component) of different components that can be similar enough."""
-    sets = node_texts(docs, members.select("id"), nodes).mapInArrow(_member_sets, "id long, n long, es array<long>, bits array<long>")
-    sets = materialize(sets, "member-sets")
+    m = members.count()
+    sets = node_texts(docs, members.select("id"), nodes, m).mapInArrow(_member_sets, "id long, n long, es array<long>, bits array<long>")
+    sets = materialize(sets, "member-sets", m, TEXTS)
     rows = sets.select("id", "n", F.explode("es").alias("e"))  # made again where it is read
-    limit = hot_limit(rows)
-    known = with_counts(rows, "e", limit)
+    n = rows.count()
+    limit = hot_limit(n)
+    known = with_counts(rows, "e", limit, n)
     order = Window.partitionBy("id").orderBy("c", "e")
     ranked = known.select(
         "id", "n", "e", "c", F.row_number().over(order).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("shared")
     )
     at = ranked.select("id", "n", "e", "c", (F.col("n") - F.col("shared") + F.col("k")).alias("at"))
     prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    short = materialize(at.where(F.col("at") <= prefix).join(members, "id"), "prefixes")
+    short = materialize(at.where(F.col("at") <= prefix).join(members, "id"), "prefixes", n * (100 - percent) // 100 + m)
+    n = short.count()
     mixed = short.groupBy("e", "c").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("e", "c")
-    rest = hot_join(short, materialize(mixed, "mixed-shingles"), "e", limit, "left_semi")
-    rest = materialize(rest.join(sets.select("id", "bits"), "id"), "mixed-prefixes")
+    rest = hot_join(short, materialize(mixed, "mixed-shingles", n), "e", limit, "left_semi")
+    rest = materialize(rest.join(sets.select("id", "bits"), "id"), "mixed-prefixes", n, FILE_ROWS // 2)
     names = {"id": "", "n": "n", "at": "p", "component": "c", "bits": "b"}
     side = lambda k: rest.select("e", *[F.col(c).alias(f"{short_}{k}") for c, short_ in names.items()])
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
@@ -239,7 +246,7 @@ def prefix_pairs(docs: DataFrame, members: DataFrame, nodes: DataFrame, percent:
     apart = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
     # Of n shingles each, a pair has na + nb - 2 * (those in both) that one has alone.
     pairs = side("a").join(side("b"), "e").where(apart & (possible >= least) & (unlike("ba", "bb") <= F.col("na") + F.col("nb") - 2 * least))
-    return pairs.select("a", "b").distinct()
+    return materialize(pairs.select("a", "b").distinct(), "pairs", n, TEXTS)
 
 
 def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
@@ -248,14 +255,16 @@ def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
     ``w``: how often its retained values are retained by any node.
     """
     values = sketches.select("id", "n", F.explode("sketch").alias("e"))  # made again where it is read: the sketches are an eighth of its size
-    shared = with_counts(values, "e", hot_limit(values))
+    n = values.count()
+    shared = with_counts(values, "e", hot_limit(n), n)
     own = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("x"))  # K values at most
     rare = F.greatest(prefix_length(F.col("n"), percent) - (F.least(F.col("n"), F.lit(K)) - F.size("x")), F.lit(0)).cast("int")
     weight = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v["c"]).alias("w")
     lists = own.select("id", weight, F.explode(F.slice("x", F.lit(1), rare)).alias("v")).select("id", "w", F.col("v.e").alias("key"))
-    lists = materialize(lists, "lists")
-    limit = hot_limit(lists)
-    out = materialize(with_counts(lists, "key", limit), "shared-lists")
+    lists = materialize(lists, "lists", n, 8 * FILE_ROWS)
+    n = lists.count()
+    limit = hot_limit(n)
+    out = materialize(with_counts(lists, "key", limit, n), "shared-lists", n)
     discard(lists)
     return out, limit
 
@@ -263,6 +272,7 @@ def candidate_lists(sketches: DataFrame, percent: int) -> tuple[DataFrame, int]:
 def node_groups(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """(id, component) of linked nodes, and links (a, b) between those, if there are more, that connect all that are similar enough."""
     shared, limit = candidate_lists(sketches, percent)
+    n, m = sketches.count(), shared.count()
     small = shared.where(F.col("c") <= SHORT_LIST).select("key", "id")
     pairs = small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key").where("a > b")
     long_ = shared.where(F.col("c") > SHORT_LIST)
@@ -271,27 +281,29 @@ def node_groups(docs: DataFrame, nodes: DataFrame, sketches: DataFrame, percent:
         F.min(F.struct((-(F.col("w") if j < HUBS // 2 else near)).alias("w"), F.xxhash64("id", F.lit(j)).alias("r"), F.col("id").alias("hub"))).alias(f"h{j}")
         for j in range(HUBS)
     ]
-    hubs = materialize(long_.groupBy("key", "c").agg(*heads), "hubs")
+    hubs = materialize(long_.groupBy("key", "c").agg(*heads), "hubs", m // SHORT_LIST)
     met = hot_join(long_.select("key", "id", "c"), hubs, "key", limit)
     first = met.groupBy("id").agg(F.array(*[F.min(f"h{j}")["hub"] for j in range(HUBS)]).alias("hubs"))
     stars = first.select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
-    first = materialize(pairs.select("a", "b").unionByName(stars).distinct(), "candidates")
-    links = materialize(exact_links(first, sketches, nodes, docs, percent), "links")
-    found = materialize(components(links, "first"), "components")
+    first = materialize(pairs.select("a", "b").unionByName(stars).distinct(), "candidates", n + m)
+    links = exact_links(first, sketches, nodes, docs, percent, "links")
+    k = links.count()
+    found = materialize(components(links, "first", k), "components", 2 * k)
 
     # Long lists whose members are not all of one component: the pairs across components.
     labelled = long_.join(found.withColumnRenamed("id", "n_id"), F.col("id") == F.col("n_id"), "left").select(
         "key", "c", "id", F.coalesce("component", "id").alias("component")
     )
-    labelled = materialize(labelled, "labelled")
+    labelled = materialize(labelled, "labelled", m)
     mixed = labelled.groupBy("key", "c").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "c")
-    both = hot_join(labelled, materialize(mixed, "mixed-lists"), "key", limit, "left_semi")
-    rest = materialize(both.select("id", "component").distinct(), "rest")
+    both = hot_join(labelled, materialize(mixed, "mixed-lists", m // SHORT_LIST), "key", limit, "left_semi")
+    rest = materialize(both.select("id", "component").distinct(), "rest", n)
     more = None
     if not rest.isEmpty():
-        tried = materialize(prefix_pairs(docs, rest, nodes, percent).join(first, ["a", "b"], "left_anti"), "more-candidates")
+        tried = prefix_pairs(docs, rest, nodes, percent)
+        tried = materialize(tried.join(first, ["a", "b"], "left_anti"), "more-candidates", tried.count())
         if not tried.isEmpty():
-            more = materialize(exact_links(tried, sketches, nodes, docs, percent), "more-links")
+            more = exact_links(tried, sketches, nodes, docs, percent, "more-links")
     discard(shared, hubs, first, links, labelled)
     return found, more
 
@@ -303,16 +315,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         _signatures, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, sketch array<long>"
     )
     sig = materialize(sig, "signatures")
+    n = sig.count()
     known = sig.where("n_shingles > 0 and doc_id is not null")
     sets = known.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.count(F.lit(1)).alias("c"))
-    nodes = materialize(sets.select("digest", "c", "r.*", F.monotonically_increasing_id().alias("id")), "nodes")
+    nodes = materialize(sets.select("digest", "c", "r.*", F.monotonically_increasing_id().alias("id")), "nodes", n)
     place = nodes.select("id", "digest", "doc_id", "text_hash")
     sketches = known.join(place, ["digest", "doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "sketch")
-    sketches = materialize(sketches, "sketches")
+    sketches = materialize(sketches, "sketches", n, FILE_ROWS // 2)
     found, more = node_groups(docs, nodes, sketches, percent)
 
     several = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    several = materialize(several, "several-texts")
+    several = materialize(several, "several-texts", n)
     if not several.isEmpty():  # a document with several texts links them
         own = known.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct()
         own = own.withColumnRenamed("doc_id", "d").join(nodes.select("digest", "id"), "digest")
@@ -320,12 +333,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = same if more is None else more.unionByName(same)
     if more is not None:
         stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found = materialize(components(stars.unionByName(more), "all"), "all-components")
+        found = materialize(components(stars.unionByName(more), "all", n), "all-components", n)
 
     labelled = nodes.join(found, "id", "left").select("digest", "c", "doc_id", F.coalesce("component", "id").alias("component"))
-    labelled = materialize(labelled, "labels")
+    labelled = materialize(labelled, "labels", n)
     names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k"))
-    side = materialize(split_join(labelled, materialize(names, "names"), "component", "k", hot_limit(labelled)).select("digest", "c", "component_id"), "side")
+    side = materialize(split_join(labelled, materialize(names, "names", n), "component", "k", hot_limit(labelled)).select("digest", "c", "component_id"), "side", n)
     rows = known.select("doc_id", "n_shingles", "digest")
     alone = sig.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = split_join(rows, side, "digest", "c", hot_limit(sig)).select("doc_id", "n_shingles", "component_id")

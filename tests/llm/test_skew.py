@@ -4,7 +4,8 @@ from collections import Counter
 
 import pytest
 
-from matchloom.llm import near_dedup, skew
+from matchloom import session
+from matchloom.llm import components, near_dedup, skew
 
 
 @pytest.fixture(params=[3, 1_000])
@@ -49,3 +50,27 @@ def test_near_dedup_alike_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(skew, "LEAST_HOT", 4)
     assert bag(near_dedup.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == want
     assert {r[2] for r in want if r[0] < 30} == {0}
+
+
+def test_near_dedup_writes_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, a small table is a few files."""
+    files = []
+
+    def counted(df, name, *about):
+        out = session.materialize(df, name, *about)
+        files.append(len(out.inputFiles()))
+        return out
+
+    for module in (near_dedup, components, skew):
+        monkeypatch.setattr(module, "materialize", counted)
+    base = [f"b{i}" for i in range(100)]
+    docs = spark.createDataFrame([(k, " ".join([*base, f"own{k}"])) for k in range(60)], "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        assert {r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 20 and sum(files) < 3 * len(files)
