@@ -1082,7 +1082,7 @@ _CONFIGURATIONS = {"all": _FEATURES, "sizes": ["n_chars", "n_words", "n_lines"]}
 
 def learned_folds(spark, sf_dir, seeds=(42,)):
     """Forests of the default size over three folds of the sources, two configurations."""
-    rows = document_features(spark, sf_dir)
+    rows = materialize(document_features(spark, sf_dir), "rows")
     pairs = rows.select("pair_id").distinct().withColumn("stratum", F.lit("all"))
     return model.evaluate_folds(rows, splits.repeated_splits(pairs, 3), _CONFIGURATIONS, seeds)
 

@@ -163,3 +163,30 @@ def test_forests_are_dealt_and_keep_node_ids(spark):
     kept = model.score(pipe.fit(rows), df).select("x", "y", "score").distinct().collect()
     pipe.getStages()[-1].setCacheNodeIds(False)
     assert set(kept) == set(model.score(pipe.fit(rows), df).select("x", "y", "score").distinct().collect())
+
+
+def test_forest_grown_by_trees(spark):
+    """One cut at a time against all cuts tried; a forest is the same from any partitions, and its scores those of its trees over rows."""
+    from matchloom.operators import forest, model
+
+    rng = np.random.default_rng(3)
+    bins, rows = rng.integers(0, 6, (1, 40)).astype("u1"), rng.integers(0, 4, (2, 40))
+    weight = np.array([[1.0], [2.5]])
+    tree = forest.grow_tree(bins, rows, weight, 1, np.random.default_rng(5))
+    n = np.random.default_rng(5).poisson(rows) * weight
+    gini = lambda x: 1 - ((x / x.sum()) ** 2).sum() if x.sum() else 0.0
+    cost = {int(b): sum(n[:, s].sum() * gini(n[:, s].sum(axis=1)) for s in (bins[0] <= b, bins[0] > b)) for b in set(bins[0].tolist())}
+    assert cost[int(tree.bin[0])] == pytest.approx(min(cost.values())) and tree.feature.tolist() == [0, -1, -1]
+    left = n[:, bins[0] <= tree.bin[0]].sum(axis=1)
+    assert tree.p[1] == pytest.approx(left[1] / left.sum())
+    deep = forest.Tree.unpack(forest.grow_tree(rng.integers(0, 32, (3, 500)).astype("u1"), np.eye(2, dtype=int)[rng.integers(0, 2, 500)].T, np.ones((2, 1)), 30, rng).pack())
+    assert np.isin(deep.p[deep.feature < 0], (0.0, 1.0)).mean() > 0.9 and sorted(deep.left[deep.feature >= 0].tolist()) == list(range(1, len(deep.p), 2))
+    data = [(i, None if i % 50 == 7 else float(i % 29), float(i % 7), int(i % 29 > 14 or i % 50 == 7)) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, x double, y double, label int")
+    made = model.fit("rf", df, ["x", "y"], trees=9, depth=30, seed=4)
+    assert isinstance(made, forest.Forest) and made.frame.count() == 9
+    got = {r["id"]: r["score"] for r in model.score(made, df).collect()}
+    again = model.score(model.fit("rf", df.repartition(5).orderBy("y"), ["x", "y"], trees=9, depth=30, seed=4), df.coalesce(1))
+    assert got == {r["id"]: r["score"] for r in again.collect()} and len(got) == 600
+    assert all((got[i] > 0.5) == bool(label) for i, _, _, label in data)
+    assert model.fit("rf", df.na.drop().withColumn("label", F.col("label") * 2), ["y"], trees=2, depth=2).stages  # other labels: by levels
